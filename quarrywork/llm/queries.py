@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_trie
+from . import mixing, url_trie, weak
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,17 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.judge(_read(spark, sf_dir, "documents"))
+
+
 def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
+    "op7_weak_supervision": op7_weak_supervision,
     "op8_water_filling_mix": op8_water_filling_mix,
 }
 
