@@ -131,3 +131,64 @@ def partitions_for(spark: SparkSession) -> int:
 def crc32_mod(col: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
+
+
+def slices(batch: pa.RecordBatch, text_at: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes of text, so that work arrays stay small; a longer text is a piece of its own."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)).astype(np.int64)
+    piece = (np.cumsum(lengths) - lengths) // most
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+class PrefixHash:
+    """Hashes of any stretch of a sequence of 64-bit values, from prefix sums of a polynomial modulo 2^64."""
+
+    BASE = 0x9E3779B97F4A7C55
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self._back = self._powers(self.INVERSE, n + 1)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * self._powers(self.BASE, n), out=self._sums[1:])
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        if n:
+            out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(np.uint64))
+
+
+class Bloom:
+    """A Bloom filter of a fixed size over 64-bit hashes, filled by Spark.
+
+    Only set words come to the driver, at most 2^bits / 64 of them, whatever the
+    size of the data. A filter that is too small lets more rows through; those
+    who use it join exactly afterwards, so it only saves work.
+    """
+
+    def __init__(self, hashes: DataFrame, col: str, bits: int = 24):
+        self.bits = bits
+        low = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
+        high = F.shiftrightunsigned(F.col(col), 40 - bits if bits < 40 else 0).bitwiseAND(F.lit((1 << bits) - 1))
+        spots = hashes.select(F.explode(F.array(low, high)).alias("spot"))
+        words = spots.select(F.shiftright("spot", 6).alias("word"), F.expr("shiftleft(1L, cast(spot & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        found = words.toArrow()
+        self.words = np.zeros(1 << (bits - 6), np.int64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.words = self.words.view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = hashes.view(np.uint64)
+        mask = np.uint64((1 << self.bits) - 1)
+        out = np.ones(len(hashes), bool)
+        for spot in (hashes & mask, (hashes >> np.uint64(40 - self.bits)) & mask):
+            out &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+        return out

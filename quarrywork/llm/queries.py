@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, url_trie, weak
+from . import debruijn, mixing, simhash, url_trie, weak
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.deduplicate(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak.judge(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op4_url_filter": op4_url_filter,
+    "op6_debruijn_dedup": op6_debruijn_dedup,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_water_filling_mix": op8_water_filling_mix,
 }
