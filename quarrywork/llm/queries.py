@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, mixing, simhash, url_trie, weak
+from . import debruijn, mixing, packing, simhash, url_trie, weak
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,26 @@ def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op4_url_filter": op4_url_filter,
     "op6_debruijn_dedup": op6_debruijn_dedup,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_water_filling_mix": op8_water_filling_mix,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 _OP4 = """
