@@ -168,7 +168,10 @@ def _cut(text: str | None, spans) -> tuple[int, int, str]:
 
 
 def deduplicate(documents: DataFrame, keep: tuple[str, ...] = (), with_text: bool = True, scope: str = "session", bloom_bits: int = BLOOM_BITS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and (with_text) kept_text, the words left joined by spaces, with the columns in keep."""
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and (with_text) kept_text, with the columns in keep.
+
+    kept_text is the text as it was where nothing went, and else the words left, joined by spaces.
+    """
     spans = saved(repeats(documents, scope, bloom_bits), scope)
     carried = documents.select("doc_id", *keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields]
@@ -181,9 +184,10 @@ def deduplicate(documents: DataFrame, keep: tuple[str, ...] = (), with_text: boo
             for part in slices(batch, slot):
                 listed = part.column(slot + 1).to_pylist() if part.num_columns > slot + 1 else [None] * part.num_rows
                 cut = [_cut(t, s and [(x["start"], x["mask"]) for x in s]) for t, s in zip(part.column(slot).to_pylist(), listed)]
+                texts = [c[2] if c[1] else t for c, t in zip(cut, part.column(slot).to_pylist())]
                 numbers = [pa.array([c[i] for c in cut], pa.int64()) for i in (0, 1)]
                 digests = pa.array([hashlib.sha256(c[2].encode("utf-8")).hexdigest() for c in cut], pa.string())
-                yield pa.record_batch([*part.columns[:slot], *numbers, digests, *([pa.array([c[2] for c in cut], pa.string())] * with_text)], names)
+                yield pa.record_batch([*part.columns[:slot], *numbers, digests, *([pa.array(texts, pa.string())] * with_text)], names)
 
     # documents without repeats need no join; the filter finds most of them before their texts are shuffled
     bloom = Bloom(spans.select(F.xxhash64("doc_id").alias("place")), "place", bloom_bits)

@@ -11,14 +11,15 @@ A source's target is then taken from its documents: all of them whole as often
 as fits, and a last, fractional repetition. For that, the source's words lie
 on a line in the order of a seeded hash of the document's id. Documents before
 the cut are repeated once more, the one at the cut in part, those behind not.
-Positions on the line come from a prefix sum in two levels, first over buckets
-of the hash and then within one, so that no task holds a whole source.
+The cut is found in two levels: sums over buckets of the hash tell which bucket
+holds it, and only that bucket is put in order, so that no task holds a whole
+source. What is joined to the documents is one row per source.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is
 a source of its own and sorts last; sources without words have target 0;
-repeated rows of one id share a place on the line and are told apart by size
-only when equal in both, in which case any order gives the same totals; an
-empty table gives an empty table. Other columns of the input are ignored.
+rows that share an id share a place on the line, ordered by size, and where the
+cut falls on rows equal in both, each gives that part; an empty table gives an
+empty table. Other columns of the input are ignored by mix() and kept by sample().
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
@@ -61,28 +64,62 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     return levels.select("origin", "source_size", target.alias("target"))
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, digits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words the mix takes of it.
-
-    digits: hexadecimal digits of the hash that name a bucket; each one more
-    cuts the largest window to a sixteenth. keep: further columns to carry.
-    """
+def _sized(documents: DataFrame, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
     # sources in code point order, null last, as one string that is never null
     origin = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = documents.select("doc_id", origin.alias("origin"), word_count(F.col("text")).alias("size"), place.alias("place"), F.substring(place, 1, digits).alias("bucket"), *keep)
-    per_bucket = sized.groupBy("origin", "bucket").agg(F.sum("size").alias("bucket_size"))
+    return documents.select(*(c for c in documents.columns if c in ("doc_id", *keep)), origin.alias("origin"), word_count(F.col("text")).alias("size"), place.alias("place"))
+
+
+def decisions(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, digits: int = 3) -> DataFrame:
+    """One row per source: origin, source_size, target, repeats (whole ones), and where the fractional one is cut: cut_at (place, size) and part.
+
+    digits: hexadecimal digits of the hash that name a bucket. Only the one
+    bucket of each source that holds its cut is put in order.
+    """
+    bucket = F.substring("place", 1, digits)
+    per_bucket = sized.groupBy("origin", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     per_source = targets(per_bucket.groupBy("origin").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
-    earlier = Window.partitionBy("origin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = per_bucket.withColumn("bucket_at", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(per_source, "origin")
-    inside = Window.partitionBy("origin", "bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    words = F.round(F.col("target")).cast("long")
-    full = F.col("source_size") > 0
+    words, full = F.round(F.col("target")).cast("long"), F.col("source_size") > 0
     repeats = F.when(full, F.floor(words / F.col("source_size"))).otherwise(0)
-    cut = F.when(full, words - F.floor(words / F.col("source_size")) * F.col("source_size")).otherwise(0)
+    per_source = per_source.withColumn("repeats", repeats).withColumn("cut", words - F.col("repeats") * F.col("source_size"))
+    earlier = Window.partitionBy("origin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per_bucket.withColumn("bucket_at", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
+    open_buckets = placed.join(per_source.select("origin", "cut"), "origin").filter((F.col("bucket_at") <= F.col("cut")) & (F.col("cut") < F.col("bucket_at") + F.col("bucket_size")))
+    inside = Window.partitionBy("origin").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    members = sized.select("origin", "place", "size", bucket.alias("bucket")).join(open_buckets, ["origin", "bucket"])
     at = F.col("bucket_at") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), cut - at))
-    return sized.join(plan.drop("bucket_size"), ["origin", "bucket"]).select("doc_id", "size", "source_size", "target", (F.col("size") * repeats + part).cast("long").alias("taken"), *keep)
+    cuts = members.withColumn("part", F.col("cut") - at).filter((F.col("part") >= 0) & (F.col("part") < F.col("size")))
+    cuts = cuts.select("origin", F.struct("place", "size").alias("cut_at"), "part").dropDuplicates(["origin"])
+    return per_source.drop("cut").join(cuts, "origin", "left")
+
+
+def _part():
+    """Words of the fractional repetition that a document gives."""
+    here = F.struct("place", "size")
+    return F.when(here < F.col("cut_at"), F.col("size")).when(here == F.col("cut_at"), F.col("part")).otherwise(0)
+
+
+def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, scope: str = "session") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target and taken, the words the mix takes of it."""
+    sized = saved(_sized(documents, seed), scope)
+    plan = saved(decisions(sized, weights, share, max_epochs), scope)
+    taken = (F.col("size") * F.col("repeats") + _part()).cast("long")
+    return sized.join(plan, "origin").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def sample(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, scope: str = "session") -> DataFrame:
+    """The mix itself: rows of documents, as often as taken; a fractional repetition that falls inside a document gives its first words."""
+    columns = documents.columns
+    plan = saved(decisions(saved(_sized(documents, seed), scope), weights, share, max_epochs), scope)
+    keyed = _sized(documents, seed, tuple(columns)).join(plan, "origin")
+    copies = F.col("repeats") + F.when(_part() == F.col("size"), 1).otherwise(0)
+    wholes = keyed.filter((copies > 0) & (F.col("size") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.col("part").cast("int")), " ")
+    parts = keyed.filter((F.struct("place", "size") == F.col("cut_at")) & (F.col("part") > 0)).withColumn("text", head)
+    if "n_chars" in columns:
+        parts = parts.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return wholes.select(*columns).union(parts.select(*columns))
 
 
 #: What mix() returns, for DuckDB.

@@ -179,14 +179,15 @@ def _pack(dealt: DataFrame, size: int, give: bool) -> DataFrame:
 def pack(cut: DataFrame, size: int = SIZE, partition: int = PARTITION, rounds: int = ROUNDS, scope: str = "session") -> DataFrame:
     """pieces() with sequence_id and offset; each sequence is gapless from offset 0. cut must be a written table."""
     columns = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
-    done = [cut.filter(F.col("length") == size).select(*columns, F.xxhash64("row", "piece").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    # sequences of full pieces are numbered below 0, others by round, partition and place there
+    done = [cut.filter(F.col("length") == size).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = cut.filter(F.col("length") < size)
     n = rest.count()
     for turn in range(rounds):
         lots = max(1, -(-n // partition))
         deal = F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(lots))
         packed = saved(_pack(rest.select(*columns, deal.alias("part")), size, lots > 1 and turn + 1 < rounds), scope)
-        done.append(packed.filter("not given").select(*columns, F.xxhash64(F.lit(turn), "part", "local").alias("sequence_id"), "offset"))
+        done.append(packed.filter("not given").select(*columns, (F.lit(turn << 58) + F.shiftleft(F.col("part"), 26) + F.col("local")).alias("sequence_id"), "offset"))
         rest = packed.filter("given")
         n = rest.count() if lots > 1 else 0
         if not n:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved
+from .common import Bloom, map_batches, saved
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -258,3 +258,34 @@ def near_duplicates(documents: DataFrame, scope: str = "session") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id of its group."""
     prints = saved(fingerprints(documents), scope)
     return groups(prints, scope).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = 24) -> DataFrame:
+    """The rows of documents without near duplicates: of each group the one with the least doc_id (null last, then by a hash of the text).
+
+    Rows that go, and rows found more than once, are few; a Bloom filter finds
+    most others, which stay without a join. The rest join exactly.
+    """
+    row = F.xxhash64("text")
+    prints = saved(fingerprints(documents.withColumn("row_hash", row), ("row_hash",)), scope)
+    grouped = saved(groups(prints, scope).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")), scope)
+    first = grouped.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # a group without any id has a null component_id
+    crowded = grouped.join(first, grouped["component_id"].eqNullSafe(first["component_id"])).select("doc_id", "row_hash", (F.col("rank") == F.col("first")).alias("stays"))
+    crowded = saved(crowded.distinct(), scope)
+    bloom = Bloom(crowded.select(F.xxhash64("doc_id", "row_hash").alias("place")), "place", bloom_bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes):
+        import pandas as pd
+
+        return pd.Series(bloom.has(hashes.to_numpy(np.int64)))
+
+    place = F.xxhash64("doc_id", row)
+    plain = documents.filter(~maybe(place))
+    looked_up = documents.filter(maybe(place)).alias("d")
+    c = crowded.select(F.col("doc_id").alias("crowded_id"), F.col("row_hash").alias("crowded_row"), "stays")
+    same = F.col("d.doc_id").eqNullSafe(F.col("crowded_id")) & (F.xxhash64("d.text") == F.col("crowded_row"))
+    kept = looked_up.join(c, same, "left").filter(F.coalesce("stays", F.lit(True)))
+    once = kept.filter("stays").dropDuplicates(["crowded_id", "crowded_row"])
+    return plain.union(kept.filter("stays IS NULL").select("d.*")).union(once.select("d.*"))

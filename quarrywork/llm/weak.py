@@ -15,18 +15,20 @@ the expected votes carry pseudo-counts of that prior.
 
 Defined results: a null or empty text has no words, fails the base and is not
 kept; repeated rows are judged alike; an empty table gives an empty table.
-Other columns of the input are ignored unless asked for.
+Other columns of the input are ignored by judge() and kept by keep_good().
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_batches, mix, rolling, saved, sums
+from .common import Words, map_batches, mix, rolling, saved, slices, sums
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -149,36 +151,66 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int = RULES, rou
     return p, {"good": good, "bad": bad}
 
 
-def judge(documents: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = (), scope: str = "session") -> DataFrame:
-    """One row per document: doc_id, the measures n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words,
-    base_failed, posterior and kept, with the columns named in keep. The texts are read once: what
-    is written between the two passes is a few numbers for each document (and keep)."""
-    names = ["doc_id", *keep, *MEASURES[:5], "pattern"]
-    carried = documents.select("doc_id", *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields] + [f"{n} long" for n in names[len(carried.columns) :]])
-    slot = len(carried.columns)
+def _base_failed():
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = measure(batch, slot)
-        columns = [batch.column(i) for i in range(slot)] + [pa.array(m[n]) for n in MEASURES[:5]] + [pa.array(_pattern(votes(m)))]
-        return pa.record_batch(columns, names)
 
-    measured = saved(map_batches(documents.select("doc_id", *keep, F.col("text").alias("whole_text")), count, schema), scope)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    seen = measured.groupBy("pattern").agg(F.count_if(~failed).alias("count")).toPandas()  # one row per vote pattern
+def _fit(patterned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vote patterns in order and their posteriors, from the patterns of documents that pass the base (null: fails)."""
+    seen = patterned.groupBy("pattern").count().toPandas().dropna()  # one row per vote pattern
     patterns, counts = seen["pattern"].to_numpy(np.int64), seen["count"].to_numpy(float)
-    p, _ = posteriors(patterns, counts) if len(seen) else (np.empty(0), None)
-    table = dict(zip(patterns.tolist(), p.tolist(), strict=True))
+    order = np.argsort(patterns)
+    return patterns[order], posteriors(patterns[order], counts[order])[0] if len(seen) else np.empty(0)
+
+
+def _verdicts(m: dict[str, np.ndarray], pattern: np.ndarray, model: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, posterior (0 where the base failed and no other document has the pattern) and kept."""
+    failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+    ranked, chances = model
+    at = np.minimum(np.searchsorted(ranked, pattern), max(0, len(ranked) - 1))
+    chance = np.where(ranked[at] == pattern, chances[at], 0.0) if len(ranked) else np.zeros(len(pattern))
+    return failed, chance, ~failed & (chance >= threshold)
+
+
+def _measured(documents: DataFrame) -> DataFrame:
+    names = ["doc_id", *MEASURES[:5], "pattern"]
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                m = measure(part, 1)
+                yield pa.record_batch([part.column(0), *(pa.array(m[n]) for n in MEASURES[:5]), pa.array(_pattern(votes(m)))], names)
+
+    return documents.select("doc_id", F.col("text").alias("whole_text")).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]))
 
-    ranked = np.array(sorted(table), np.int64)
-    known = np.array([table[x] for x in ranked.tolist()])
+
+def judge(documents: DataFrame, threshold: float = THRESHOLD, scope: str = "session") -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, posterior and kept.
+
+    The texts are read once; a few numbers for each document are written before the votes are weighed.
+    """
+    measured = saved(_measured(documents), scope)
+    model = _fit(measured.select(F.when(~_base_failed(), F.col("pattern")).alias("pattern")))
+    id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.schema.get_field_index
-        pattern, n, repeats = (batch.column(at(x)).to_numpy() for x in ("pattern", "n_words", "n_repeat_words"))
-        failed = (n < 10) | (100 * repeats > 20 * n)
-        chance = known[np.searchsorted(ranked, pattern)]
-        columns = [*batch.columns[:-1], pa.array(failed), pa.array(chance), pa.array(~failed & (chance >= threshold))]
-        return pa.record_batch(columns, [*names[:-1], "base_failed", "posterior", "kept"])
-
-    return map_batches(measured, decide, schema.removesuffix(", pattern long") + ", base_failed boolean, posterior double, kept boolean")
+        m = {n: batch.column(i + 1).to_numpy() for i, n in enumerate(MEASURES[:5])}
+        columns = [pa.array(x) for x in _verdicts(m, batch.column(6).to_numpy(), model, threshold)]
+        return pa.record_batch([*batch.columns[:6], *columns], ["doc_id", *MEASURES[:5], "base_failed", "posterior", "kept"])
+
+    return map_batches(measured, decide, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in MEASURES[:5]) + ", base_failed boolean, posterior double, kept boolean")
+
+
+def keep_good(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that judge() keeps, all columns. The texts are read twice and never shuffled or written."""
+    model = _fit(_measured(documents).select(F.when(~_base_failed(), F.col("pattern")).alias("pattern")))
+    slot = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, slot):
+                m = measure(part, slot)
+                yield part.filter(pa.array(_verdicts(m, _pattern(votes(m)), model, threshold)[2]))
+
+    return documents.mapInArrow(run, documents.schema)
