@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, mixing, packing, ppm, simhash, url_trie, weak
+from . import debruijn, imi, mixing, packing, ppm, simhash, url_trie, weak
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search(_read(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(20)) == 0)
+
+
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_ppm_scores": op3_ppm_scores,
     "op4_url_filter": op4_url_filter,
