@@ -69,6 +69,8 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # a fresh copy: ascii_lower misreads arrays whose data don't begin at offset 0
+        texts = pa.concat_arrays([texts, pa.array([], pa.large_string())])
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         flat = lists.flatten()
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
