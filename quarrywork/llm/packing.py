@@ -28,12 +28,14 @@ gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,38 +46,85 @@ SIZE, END = 2048, 0
 PARTITION = 60_000
 ROUNDS = 3
 #: Distinct runs of characters whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _KNOWN: dict[str, dict] = {}
+#: Latin letters (without the one whose lower case is two characters), and marks that never join letters before them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_MARKS = ".,;:!?#*$%&|<>()"
+_LATIN = re.compile(f"[{_LETTERS}]+")
 
 
 class Ids:
-    """Ids of texts by a tokenizer's file, through a memory of distinct runs without white space."""
+    """Ids of texts by a tokenizer's file, through a memory of distinct runs without white space.
+
+    This is for tokenizers that drop white space and split the rest by a
+    pattern that never joins letters with the marks behind them (apostrophes
+    aside), so a space is put between a letter and a mark. A run of Latin letters
+    is one piece of the pattern, whose last id alone carries the word end; so
+    many such runs are encoded as one text and told apart by these ids. Any
+    other run is encoded by itself.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cluster's cores have tasks of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 2, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.memory = _KNOWN.setdefault(path, {})
 
+    def _alone(self, words: list[str]) -> None:
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self.memory[word] = np.array(code.ids, "<u4").tobytes()
+
+    def _together(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, lo = ids.tobytes(), 0
+                for word, hi in zip(part, (cuts * 4).tolist()):
+                    self.memory[word] = raw[lo:hi]
+                    lo = hi
+            else:
+                self._alone(part)
+
+    def learn(self, words: list[str]) -> None:
+        """Puts words into the memory."""
+        together, alone = [], []
+        latin = _LATIN.fullmatch
+        for word in words:
+            (together if latin(word) else alone).append(word)
+        self._together(together)
+        self._alone(alone)
+
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts one after another, and where each text's begin."""
-        words = Words(texts)
+        texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), ""), pa.array([], pa.large_string())])
+        # the tokenizer lower-cases, but for its special tokens; only where none is near may A-Z be lower-cased first
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        if not special:
+            texts = pc.replace_substring_regex(texts, pattern=f"([{_LETTERS}])([{_MARKS}])", replacement=r"\1 \2")
+        words = Words(texts, lower=not special)
         distinct = words.distinct.to_pylist()
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        fresh = [w for w in distinct if w not in self.memory]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.memory[word] = np.array(code.ids, np.uint32).tobytes()
+        self.learn([w for w in distinct if w not in self.memory])
         coded = [self.memory[w] for w in distinct]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[words.codes] if len(words.codes) else np.empty(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(begin[words.codes] - ends[:-1], each) + np.arange(ends[-1]) if len(each) else np.empty(0, np.int64)
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+        each = sizes[words.codes]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        at = np.repeat(begin[words.codes] - ends[:-1].astype(np.int32), each)
+        at += np.arange(len(at), dtype=np.int32)
         return flat[at], ends[words.starts]
 
 
@@ -86,7 +135,7 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(tokenizer)
         for batch in batches:
-            for part in slices(batch, 1, 3 << 20):
+            for part in slices(batch, 1, 6 << 20):
                 flat, starts = ids.of(part.column(1))
                 out: list[tuple] = []
                 last = np.array([end], "<u4")
@@ -168,7 +217,7 @@ _PACKED = "doc_id long, row long, piece int, start long, length long, ids_crc32
 
 
 def _pack(dealt: DataFrame, size: int, give: bool) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group):
         group = group.sort_values(["length", "doc_id", "row", "piece"], kind="stable")
         sequence, offset, given, used, bound = pack_group(group["length"].to_numpy(), size, give)
         return group.assign(local=sequence, offset=offset, given=given, used=used, bound=bound)
