@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, imi, mixing, packing, ppm, simhash, url_trie, weak
+from . import debruijn, imi, mixing, packing, ppm, simhash, toxicity, url_trie, weak
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicate(_read(spark, sf_dir, "documents"), with_text=False)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op3_ppm_scores": op3_ppm_scores,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op6_debruijn_dedup": op6_debruijn_dedup,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_water_filling_mix": op8_water_filling_mix,
