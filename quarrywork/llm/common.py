@@ -53,6 +53,18 @@ def release(spark: SparkSession, scope: str = "session") -> None:
             print(f"quarrywork: {path} stays: {type(gone).__name__}")
 
 
+#: Rows of an Arrow batch where whole texts go to Python: a few MB of ordinary documents.
+TEXT_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to TEXT_ROWS rows, so that neither side of the pipe holds many texts at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -135,7 +147,7 @@ def crc32_mod(col: str, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
-def slices(batch: pa.RecordBatch, text_at: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_at: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes of text, so that work arrays stay small; a longer text is a piece of its own."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)).astype(np.int64)
     piece = (np.cumsum(lengths) - lengths) // most
@@ -194,3 +206,13 @@ class Bloom:
         for spot in (hashes & mask, (hashes >> np.uint64(40 - self.bits)) & mask):
             out &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
         return out
+
+    def rows(self, df: DataFrame, place, inside: bool) -> DataFrame:
+        """The rows of df whose hash (a column expression) the filter has, or those it hasn't."""
+        schema, columns = df.schema, df.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self.has(batch.column(len(columns)).to_numpy()) == inside)).select(columns)
+
+        return df.select(*columns, place.alias("place in filter")).mapInArrow(run, schema)

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, PrefixHash, Words, mix, saved, slices
+from .common import Bloom, PrefixHash, Words, mix, saved, slices, small_batches
 
 WINDOW, ANCHOR = 50, 16
 BLOOM_BITS = 24
@@ -98,6 +98,7 @@ def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def _paths(documents: DataFrame, wanted: Bloom | None = None) -> DataFrame:
     """All paths, or those at the wanted places with the hashes of their windows."""
+    small_batches(documents.sparkSession)
     schema = "owner long, body long, doc_id long, row long, start int, count int, place long" + (", windows array<long>" if wanted else "")
     names = ["owner", "body", "doc_id", "row", "start", "count", "place"] + ["windows"] * bool(wanted)
 
@@ -178,30 +179,28 @@ def deduplicate(documents: DataFrame, keep: tuple[str, ...] = (), with_text: boo
     names = [*carried.columns, "n_words", "n_removed", "kept_sha256", *(["kept_text"] * with_text)]
     schema = ", ".join([*fields, "n_words long", "n_removed long", "kept_sha256 string", *(["kept_text string"] * with_text)])
     slot = len(fields)
+    # documents without repeats need no join; the filter finds most of them before their texts are shuffled
+    bloom = Bloom(spans.select(F.xxhash64("doc_id").alias("place")), "place", bloom_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cuts the texts; after the text comes the list of spans or, for documents not looked up, the hash of the id."""
         for batch in batches:
+            if pa.types.is_integer(batch.column(slot + 1).type):
+                batch = batch.filter(pa.array(~bloom.has(batch.column(slot + 1).to_numpy())))
             for part in slices(batch, slot):
-                listed = part.column(slot + 1).to_pylist() if part.num_columns > slot + 1 else [None] * part.num_rows
-                cut = [_cut(t, s and [(x["start"], x["mask"]) for x in s]) for t, s in zip(part.column(slot).to_pylist(), listed)]
-                texts = [c[2] if c[1] else t for c, t in zip(cut, part.column(slot).to_pylist())]
-                numbers = [pa.array([c[i] for c in cut], pa.int64()) for i in (0, 1)]
-                digests = pa.array([hashlib.sha256(c[2].encode("utf-8")).hexdigest() for c in cut], pa.string())
-                yield pa.record_batch([*part.columns[:slot], *numbers, digests, *([pa.array(texts, pa.string())] * with_text)], names)
-
-    # documents without repeats need no join; the filter finds most of them before their texts are shuffled
-    bloom = Bloom(spans.select(F.xxhash64("doc_id").alias("place")), "place", bloom_bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(hashes):
-        import pandas as pd
-
-        return pd.Series(bloom.has(hashes.to_numpy(np.int64)))
+                listed = [None] * part.num_rows if pa.types.is_integer(part.column(slot + 1).type) else part.column(slot + 1).to_pylist()
+                texts = part.column(slot).to_pylist()
+                cut = [_cut(t, s and [(x["start"], x["mask"]) for x in s]) for t, s in zip(texts, listed)]
+                columns = [pa.array([c[i] for c in cut], pa.int64()) for i in (0, 1)]
+                columns.append(pa.array([hashlib.sha256(c[2].encode("utf-8")).hexdigest() for c in cut], pa.string()))
+                if with_text:
+                    columns.append(pa.array([c[2] if c[1] else t for c, t in zip(cut, texts)], pa.string()))
+                yield pa.record_batch([*part.columns[:slot], *columns], names)
 
     whole = documents.select("doc_id", *keep, F.col("text").alias("whole_text"))
     id_hash = F.xxhash64(F.col("doc_id").cast("long"))
-    plain = whole.filter(~maybe(id_hash)).mapInArrow(run, schema)
+    plain = whole.withColumn("id_hash", id_hash).mapInArrow(run, schema)
     spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row"), "spans")
     same = (F.col("doc_id") == F.col("span_doc")) & (F.xxhash64("whole_text") == F.col("span_row"))
-    joined = whole.filter(maybe(id_hash)).join(spans, same, "left").select("doc_id", *keep, "whole_text", "spans")
+    joined = bloom.rows(whole, id_hash, True).join(spans, same, "left").select("doc_id", *keep, "whole_text", "spans")
     return plain.union(joined.mapInArrow(run, schema))
