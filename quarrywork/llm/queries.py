@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, imi, mixing, packing, ppm, simhash, toxicity, url_trie, weak
+from . import debruijn, imi, mixing, packing, ppm, simhash, toxicity, url_trie, weak, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_simhash_groups": op2_simhash_groups,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_weak_supervision": op7_weak_supervision,
     "op8_water_filling_mix": op8_water_filling_mix,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_wrapper_extraction": op10_wrapper_extraction,
 }
 
 _OP4 = """
