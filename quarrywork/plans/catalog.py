@@ -73,7 +73,7 @@ def effective_datetime(spark, d):
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events)
-SELECT event_id, user_id, round((epoch_us(date_trunc('second', next_ts)) - epoch_us(date_trunc('second', ts))) / 1000000 / 3600.0, 2) AS hours FROM e WHERE next_ts IS NOT NULL""")
+SELECT event_id, user_id, floor(((epoch_us(date_trunc('second', next_ts)) - epoch_us(date_trunc('second', ts))) // 1000000 * 100 + 1800) / 3600::DOUBLE) / 100 AS hours FROM e WHERE next_ts IS NOT NULL""")
 def transit_hours(spark, d):
     following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     pairs = table(spark, d, "events").withColumn("next_ts", following).filter("next_ts IS NOT NULL")
@@ -105,11 +105,11 @@ def eligible_only_count(spark, d):
     return _judged(spark, d).filter(F.size("why") == 0).groupBy("o_orderpriority").agg(F.count("*").alias("eligible"))
 
 
-@query("""WITH f(n, way, at) AS (VALUES ('SQ12', 'A', TIMESTAMP '2026-08-20 07:45:00'), ('SQ318', 'D', TIMESTAMP '2026-08-20 21:00:00'), ('TR101', 'A', TIMESTAMP '2026-08-20 11:30:00'), ('TR201', 'D', TIMESTAMP '2026-08-20 15:30:00'), ('AI101', 'A', TIMESTAMP '2026-08-20 09:00:00'), ('AI202', 'D', TIMESTAMP '2026-08-21 10:00:00'), ('CX101', 'A', TIMESTAMP '2026-08-20 06:00:00'), ('CX202', 'D', TIMESTAMP '2026-08-20 11:30:00')),
+@query("""WITH f(n, way, t) AS (VALUES ('SQ12', 'A', TIMESTAMP '2026-08-20 07:45:00'), ('SQ318', 'D', TIMESTAMP '2026-08-20 21:00:00'), ('TR101', 'A', TIMESTAMP '2026-08-20 11:30:00'), ('TR201', 'D', TIMESTAMP '2026-08-20 15:30:00'), ('AI101', 'A', TIMESTAMP '2026-08-20 09:00:00'), ('AI202', 'D', TIMESTAMP '2026-08-21 10:00:00'), ('CX101', 'A', TIMESTAMP '2026-08-20 06:00:00'), ('CX202', 'D', TIMESTAMP '2026-08-20 11:30:00')),
 s(code, deadline, required, slots, status) AS (VALUES ('01', '08:30', '14:30', 8, 'OPEN'), ('02', '10:30', '16:30', 3, 'OPEN'), ('03', '11:30', '17:30', 0, 'FULL'), ('04', '13:30', '19:30', 5, 'OPEN'), ('05', '14:30', '20:30', 7, 'OPEN'), ('06', '16:30', '22:30', 2, 'OPEN'), ('07', '17:30', '23:30', 6, 'OPEN')),
 q(request_id, a, d) AS (VALUES (1, 'SQ12', 'SQ318'), (2, 'TR101', 'TR201'), (3, 'AI101', 'AI202'), (4, 'CX101', 'CX202'))
-SELECT q.request_id::BIGINT AS request_id, 'FST-20260820-' || s.code AS session_code, round(epoch(y.at - x.at) / 3600.0, 2) AS transit_hours,
-  (s.status = 'OPEN' AND s.slots > 0 AND x.at <= CAST('2026-08-20 ' || s.deadline || ':00' AS TIMESTAMP) AND y.at >= CAST('2026-08-20 ' || s.required || ':00' AS TIMESTAMP)) AS eligible
+SELECT q.request_id::BIGINT AS request_id, 'FST-20260820-' || s.code AS session_code, round(epoch(y.t - x.t) / 3600.0, 2) AS transit_hours,
+  (s.status = 'OPEN' AND s.slots > 0 AND x.t <= CAST('2026-08-20 ' || s.deadline || ':00' AS TIMESTAMP) AND y.t >= CAST('2026-08-20 ' || s.required || ':00' AS TIMESTAMP)) AS eligible
 FROM q JOIN f x ON x.n = q.a JOIN f y ON y.n = q.d CROSS JOIN s""")
 def fixture_eligibility(spark, d):
     from ..sources import operational
@@ -529,12 +529,12 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", page_text(F.col("html"), F.col("url")).alias("text"))
 
 
-@query("SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href=\"([^\"]+)\">', 1), lambda u: regexp_extract(url, '^[a-z]+://[^/?#]*') || u), ' ') AS urls FROM pages")
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '<a href=\"([^\"]+)\">', 1), lambda u: regexp_extract(url, '^[a-z]+://[^/?#]*') || u))), ' ') AS urls FROM pages")
 def html_links(spark, d):
     from ..functions.html import page_links
 
     found = page_links(F.col("html"), F.col("url"))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.transform(found, lambda x: x["url"]), " ").alias("urls"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["url"]))), " ").alias("urls"))
 
 
 @query()
