@@ -114,15 +114,25 @@ def clean_table(headers: Column, rows: Column) -> tuple[Column, Column]:
     return F.when(promote, cells[0]).otherwise(head), F.when(promote, F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))).otherwise(cells)
 
 
-def cells_as_lines(headers: Column, row: Column) -> Column:
-    """header: cell lines of a row, cells without text left out."""
-    pairs = F.zip_with(headers, row, lambda h, c: F.when(F.coalesce(c, F.lit("")) == "", None).when(F.coalesce(h, F.lit("")) == "", c).otherwise(F.concat(h, F.lit(": "), c)))
-    return F.array_join(F.filter(pairs, lambda x: x.isNotNull()), "\n")
+def records_text(rows: Column) -> Column:
+    """A table whose first row is its head: for each other row, header: cell lines; rows apart by an empty line.
+
+    A cell under an empty header is named Column n, one beyond the head has no name.
+    """
+    trimmed = F.transform(rows, lambda r: F.transform(r, strip))
+    head = trimmed[0]
+
+    def line(cell: Column, i: Column) -> Column:
+        name = first_of(F.get(head, i), F.concat(F.lit("Column "), (i + 1).cast("string")))
+        return F.when(cell == "", None).when(i < F.size(head), F.concat(name, F.lit(": "), cell)).otherwise(cell)
+
+    texts = F.transform(F.slice(trimmed, 2, F.greatest(F.size(trimmed) - 1, F.lit(0))), lambda r: F.array_join(F.array_compact(F.transform(r, line)), "\n"))
+    return F.when(F.size(rows) > 0, F.array_join(non_empty(texts), "\n\n")).otherwise("")
 
 
 def reference_block(links: Column) -> Column:
     """A block of links (structs of text and url), or null."""
-    lines = F.transform(links, lambda x: F.concat(F.lit("- "), F.coalesce(F.nullif(x["text"], F.lit("")), x["url"]), F.lit(": "), x["url"]))
+    lines = F.transform(links, lambda x: F.concat(F.lit("- "), first_of(x["text"], F.lit("Source link")), F.lit(": "), x["url"]))
     return F.when(F.size(links) > 0, F.concat(F.lit("References:\n"), F.array_join(lines, "\n")))
 
 
