@@ -36,7 +36,7 @@ class _Reader(HTMLParser):
         self.head: list | None = None
 
     def _skips(self, tag: str, attrs: dict) -> bool:
-        if tag in ("script", "style", "template", "noscript"):
+        if tag in ("script", "style", "template", "noscript", "title"):
             return True
         return not self.whole and (tag in SKIPPED or not SKIPPED_CLASSES.isdisjoint((attrs.get("class") or "").split()))
 

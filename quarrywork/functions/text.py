@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO_WIDTH = "[​‌‍﻿]"
+ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff]"
 FOOTNOTE = r"\s*\[\d+\]\s*"
 #: Patterns of links in text: markdown, HTML anchors and bare addresses.
 MARKDOWN_LINK = r"\[([^\]]+)\]\((https?://[^)\s]+)\)"
@@ -28,7 +28,7 @@ def collapse(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Keeps line breaks: one space between words, at most one empty line, no spaces around breaks, no leaked markup."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), " ", " ")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "\u00a0", " ")
     for pattern, put in ((ZERO_WIDTH, ""), (r"(?is)<sly\b[^>]*>.*?</sly>", ""), (r"(?is)<template\b[^>]*>.*?</template>", ""), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
         out = F.regexp_replace(out, pattern, put)
     return strip(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,6 @@ def summary(rows: DataFrame) -> DataFrame:
 def embed(rows: DataFrame, text: str = "text", size: int = 256) -> DataFrame:
     """embedding: a hashed bag of words of unit length. A stand-in for a model that needs no files."""
     import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def hashed(texts: pd.Series) -> pd.Series:

@@ -70,7 +70,7 @@ def distinct_questions(questions: DataFrame) -> DataFrame:
 def plan_by_rules(requests: DataFrame) -> DataFrame:
     """A plan for each (request_id, text): flight numbers, dates and wanted tools by patterns. Stands in for a model that plans."""
     text = F.col("text")
-    flights = F.regexp_extract_all(F.upper(text), F.lit(r"\b([A-Z]{2}\s?[0-9]{2,4})\b"), 1)
+    flights = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z]{2}[0-9]{2,4}|[A-Z]{2} [0-9]{2,4})\b"), 1)
     dates = F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), 1)
     at = lambda items, n: F.try_element_at(items, F.lit(n))
     tours, transit = text.rlike("(?i)tour"), text.rlike("(?i)transit|layover|between flights")

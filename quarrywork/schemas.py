@@ -7,13 +7,3 @@ LINKS = "ARRAY<STRUCT<text: STRING, url: STRING>>"
 WORD_FILE = f"source_file STRING, source_type STRING, blocks ARRAY<STRUCT<type: STRING, style: STRING, text: STRING, formatting: STRUCT<bold_ratio: DOUBLE, mostly_bold: BOOLEAN, max_font_size_pt: DOUBLE>, list: STRUCT<is_list_item: BOOLEAN, level: INT, num_id: INT, detected_from: STRING>, rows: ARRAY<ARRAY<STRING>>, hyperlinks: {LINKS}>>"
 PDF_FILE = "source_file STRING, source_type STRING, page_count INT, pages ARRAY<STRUCT<page_number: INT, width: DOUBLE, height: DOUBLE, lines: ARRAY<STRUCT<text: STRING, block_no: INT, line_no: INT, bbox: ARRAY<DOUBLE>, bbox_normalized: ARRAY<DOUBLE>, links: ARRAY<STRING>>>>>"
 VISA_PAGE = f"id STRING, source STRING, page_type STRING, country STRING, title STRING, url STRING, overview STRING, sections ARRAY<STRUCT<title: STRING, content: STRING, notes: ARRAY<STRING>, actions: {LINKS}>>, country_list STRUCT<title: STRING, description: STRING, countries: ARRAY<STRUCT<name: STRING, url: STRING>>>, visa_requirement STRUCT<required: BOOLEAN, content: STRING>, eligibility_groups ARRAY<STRUCT<title: STRING, content: STRING, requirements: ARRAY<STRING>>>, footnotes ARRAY<STRUCT<id: STRING, number: STRING, content: STRING>>"
-TABLE = "STRUCT<caption: STRING, headers: ARRAY<STRING>, rows: ARRAY<ARRAY<STRING>>, notes: ARRAY<STRING>>"
-SECTION = "STRUCT<heading: STRING, heading_path: ARRAY<STRING>, content: STRING>"
-TOUR_PAGE = (
-    "id STRING, name STRING, page_type STRING, url STRING, title STRING,"
-    " sections ARRAY<STRUCT<heading_path: ARRAY<STRING>, title: STRING, content: STRING>>,"
-    " registration_details STRUCT<title: STRING, subsections: ARRAY<STRUCT<title: STRING, content: STRING, items: ARRAY<STRUCT<label: STRING, content: STRING>>>>>,"
-    " itineraries ARRAY<STRUCT<index: INT, title: STRING, description: STRING, image: STRUCT<url: STRING, alt: STRING>, source_component: STRING, slider_index: INT, slide_index: INT>>,"
-    f" accordions ARRAY<STRUCT<title: STRING, content: STRING>>, tables ARRAY<{TABLE}>,"
-    " images ARRAY<STRUCT<url: STRING, alt: STRING, nearby_heading: STRING, nearby_text: STRING>>"
-)
