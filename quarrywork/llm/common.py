@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 #: A word, wherever a contract speaks of words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:
+    _LIBC = None
+
 _SAVED: dict[str, list[str]] = {}
 
 
@@ -53,16 +59,16 @@ def release(spark: SparkSession, scope: str = "session") -> None:
             print(f"quarrywork: {path} stays: {type(gone).__name__}")
 
 
-#: Rows of an Arrow batch where whole texts go to Python: a few MB of ordinary documents.
-TEXT_ROWS = 2000
+#: Rows of an Arrow batch, and of a batch of the Parquet reader, where whole texts go to Python: a few MB of ordinary documents.
+TEXT_ROWS, READER_ROWS = 1000, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to TEXT_ROWS rows, so that neither side of the pipe holds many texts at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+    """Lowers the session's batches, so that neither side of the pipe, nor the reader before it, holds many texts at once."""
+    for name, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", TEXT_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READER_ROWS)):
+        now = int(spark.conf.get(name, usual))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -147,7 +153,7 @@ def crc32_mod(col: str, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
-def slices(batch: pa.RecordBatch, text_at: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes of text, so that work arrays stay small; a longer text is a piece of its own."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)).astype(np.int64)
     piece = (np.cumsum(lengths) - lengths) // most
@@ -155,6 +161,14 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int = 2 << 20) -> Iterator
     for lo, hi in zip(cuts, cuts[1:]):
         if hi > lo:
             yield batch.slice(lo, hi - lo)
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker waits for its next task with what it needs, not with its peak."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 class PrefixHash:

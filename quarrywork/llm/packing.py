@@ -39,16 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, saved, slices
+from .common import Words, saved, slices, small_batches
 
 SIZE, END = 2048, 0
 #: Pieces of a partition, about.
 PARTITION = 60_000
 ROUNDS = 3
-#: Distinct runs of characters whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct runs of characters whose ids a task remembers.
+REMEMBERED = 200_000
 
-_KNOWN: dict[str, dict] = {}
 #: Latin letters (without the one whose lower case is two characters), and marks that never join letters before them.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _MARKS = ".,;:!?#*$%&|<>()"
@@ -75,7 +74,7 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 2, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self.memory = _KNOWN.setdefault(path, {})
+        self.memory: dict[str, bytes] = {}  # of one task: workers outlive their tasks
 
     def _alone(self, words: list[str]) -> None:
         for at in range(0, len(words), 500):
@@ -130,6 +129,7 @@ class Ids:
 
 def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32): row tells rows that share an id apart."""
+    small_batches(documents.sparkSession)
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

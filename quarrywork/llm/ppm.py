@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, Words, crc32_mod, mix, saved, slices, sums
+from .common import PrefixHash, Words, crc32_mod, mix, saved, slices, small_batches, sums
 
 #: Suffix contexts have up to ORDER bytes; above them is one more, the whole word so far.
 ORDER = 6
@@ -295,6 +295,7 @@ def _word_hash(word: bytes) -> int:
 
 def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, entries: int = ENTRIES, head: int = HEAD, scope: str = "session") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    small_batches(documents.sparkSession)
     spark = documents.sparkSession
     fold = crc32_mod("doc_id", folds)
     source = documents.select("doc_id", "text", F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, map_batches, saved
+from .common import Bloom, map_batches, saved, small_batches
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -74,6 +74,7 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp, *keep): fp holds the 64 bits as a signed long."""
+    small_batches(documents.sparkSession)
     carried = documents.select("doc_id", *keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields] + ["fp long"])
     names = [*carried.columns, "fp"]
@@ -275,15 +276,9 @@ def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = 2
     crowded = saved(crowded.distinct(), scope)
     bloom = Bloom(crowded.select(F.xxhash64("doc_id", "row_hash").alias("place")), "place", bloom_bits)
 
-    @F.pandas_udf("boolean")
-    def maybe(hashes):
-        import pandas as pd
-
-        return pd.Series(bloom.has(hashes.to_numpy(np.int64)))
-
     place = F.xxhash64("doc_id", row)
-    plain = documents.filter(~maybe(place))
-    looked_up = documents.filter(maybe(place)).alias("d")
+    plain = bloom.rows(documents, place, False)
+    looked_up = bloom.rows(documents, place, True).alias("d")
     c = crowded.select(F.col("doc_id").alias("crowded_id"), F.col("row_hash").alias("crowded_row"), "stays")
     same = F.col("d.doc_id").eqNullSafe(F.col("crowded_id")) & (F.xxhash64("d.text") == F.col("crowded_row"))
     kept = looked_up.join(c, same, "left").filter(F.coalesce("stays", F.lit(True)))

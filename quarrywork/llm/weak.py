@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_batches, mix, rolling, saved, slices, sums
+from .common import Words, map_batches, mix, rolling, saved, slices, small_batches, sums
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -173,6 +173,7 @@ def _verdicts(m: dict[str, np.ndarray], pattern: np.ndarray, model: tuple[np.nda
 
 
 def _measured(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession)
     names = ["doc_id", *MEASURES[:5], "pattern"]
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
