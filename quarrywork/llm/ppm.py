@@ -170,7 +170,8 @@ class Trie:
         lower, known = self._find(self.keys, _key(shorter, self.keys & np.uint64(0xFF)))
         deep = (level[at] > 0) & known
         left = 1 - escape[parent] - np.bincount(at[deep], weight[lower[deep]], n) if n else escape
-        usable = (level > 0) & there
+        #: Whether the next shorter context is in the model; if not, a still shorter one speaks for itself.
+        self.usable = usable = (level > 0) & there
         again = np.where(left > 1e-9, escape[parent], 1.0) if n else escape  # with nothing else to come there, the way down is certain
         with np.errstate(divide="ignore", invalid="ignore"):
             self.log_weight, self.log_escape = np.log10(weight), np.log10(np.maximum(escape, 1e-12))
@@ -198,6 +199,7 @@ class Trie:
             now, node = now[there], node[there]
             at, seen = self._find(self.keys, _key(contexts[order, now], symbol[now]))
             first = came[now] < 0
+            first[~first] = ~self.usable[came[now[~first]]]
             hit, miss = now[seen], now[~seen]
             if len(hit):
                 out[hit] += self.log_weight[at[seen]] - np.where(first[seen], 0.0, self.log_left[came[hit]])
