@@ -246,12 +246,12 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk:
 
 
 def groups(prints: DataFrame, scope: str = "session") -> DataFrame:
-    """doc_id, fp and component_id for each row of prints (doc_id, fp)."""
+    """The rows of prints (doc_id, fp, ...) with root, the least fingerprint of their component, and component_id, its least doc_id."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     roots = components(links(first.select("fp")), scope)
     linked = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    named = linked.join(least, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
 
@@ -270,9 +270,9 @@ def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = 2
     row = F.xxhash64("text")
     prints = saved(fingerprints(documents.withColumn("row_hash", row), ("row_hash",)), scope)
     grouped = saved(groups(prints, scope).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")), scope)
-    first = grouped.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # a group without any id has a null component_id
-    crowded = grouped.join(first, grouped["component_id"].eqNullSafe(first["component_id"])).select("doc_id", "row_hash", (F.col("rank") == F.col("first")).alias("stays"))
+    # by root: groups that share an id may have the same component_id
+    first = grouped.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    crowded = grouped.join(first, "root").select("doc_id", "row_hash", (F.col("rank") == F.col("first")).alias("stays"))
     crowded = saved(crowded.distinct(), scope)
     bloom = Bloom(crowded.select(F.xxhash64("doc_id", "row_hash").alias("place")), "place", bloom_bits)
 
