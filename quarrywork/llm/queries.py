@@ -91,4 +91,16 @@ m AS (
 SELECT h.page_id, h.host, h.path, m.rule, COALESCE(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (n)
 """
 
-ORACLES: dict[str, str] = {"op4_url_filter": _OP4, "op8_water_filling_mix": mixing.ORACLE}
+_OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda j: md5(array_to_string(w[j:j + 49], ' '))) AS hs FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS j FROM l),
+m AS (SELECT h, MIN(doc_id) AS lo FROM h GROUP BY h),
+r AS (SELECT DISTINCT doc_id, j FROM h JOIN m USING (h) WHERE lo < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+c AS (SELECT x.doc_id, x.i, x.word, MAX(r.j) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.j = x.i),
+k AS (SELECT doc_id, COUNT(*) FILTER (gone) AS n_removed, COALESCE(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(COALESCE(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(COALESCE(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_url_filter": _OP4, "op6_debruijn_dedup": _OP6, "op8_water_filling_mix": mixing.ORACLE}
