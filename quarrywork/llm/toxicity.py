@@ -15,7 +15,9 @@ logistic regression over the counted kinds of hits, fitted on the sample, gives
 the score. Texts are whole; labels, language, source and id are no inputs.
 
 The sample is at most SAMPLE labelled rows of the training folds, those with the
-least hashes of their ids, so that what is broadcast to pick them has a bound.
+least hashes of their ids, so that what is broadcast to pick them has a bound. Of
+copies and near copies in it one counts: else every word of a toxic text that
+was copied often would pass for a toxic word.
 
 Defined results: null and empty texts have no hits and get the score of such
 documents; of several labels for an id the largest counts, null ones don't;
@@ -36,8 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, crc32_mod, saved, slices, small_batches
+from .simhash import fingerprint
 
 SAMPLE, TERMS, LIFT, FUZZY_FROM, WINDOW = 20_000, 256, 25.0, 5, 6
+#: Bits in which fingerprints of one family of copies may differ; unrelated texts differ in about 32.
+FAMILY = 12
 BEGINNINGS = (4, 5, 6)
 EXACT, BEGINS, EDITED = 1, 2, 3
 
@@ -210,13 +215,39 @@ def choose_terms(seen: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int,
     return sorted(chosen.items())[:most]
 
 
+def leaders(prints: np.ndarray, kinds: np.ndarray, near: int = FAMILY) -> np.ndarray:
+    """Rows that aren't near an earlier leader of their kind: SimHash fingerprints that differ in at most near bits."""
+    out = []
+    for kind in np.unique(kinds):
+        rows = np.flatnonzero(kinds == kind)
+        known, n = np.empty(len(rows), np.uint64), 0
+        for row in rows.tolist():
+            if not n or np.bitwise_count(known[:n] ^ prints[row]).min() > near:
+                known[n] = prints[row]
+                n += 1
+                out.append(row)
+    return np.array(sorted(out), np.int64)
+
+
 def _sample(documents: DataFrame, labels: DataFrame, folds: int, size: int, scope: str) -> DataFrame:
-    """(text, toxic) of at most size labelled documents of the training folds."""
+    """(text, toxic) of at most size labelled documents of the training folds, one of each family of near copies and label."""
     # an id without a remainder (null) has no label, so it can't be chosen
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.filter(crc32_mod("doc_id", folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     rows = saved(chosen, scope)  # at most size rows
-    return saved(documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic").limit(4 * size), scope)
+    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").limit(4 * size)
+    numbered = saved(found.select("text", "toxic", F.monotonically_increasing_id().alias("n")), scope)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t) for t in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(2), batch.column(1), pa.array(fps.view(np.int64))], ["n", "toxic", "fp"])
+
+    table = numbered.mapInArrow(prints, "n long, toxic int, fp long").toArrow().sort_by("n")  # as many rows as the sample
+    n, toxic, fps = (table.column(c).to_numpy() for c in ("n", "toxic", "fp"))
+    kept = n[leaders(fps.view(np.uint64), toxic > 0)]
+    one = documents.sparkSession.createDataFrame(pa.table({"n": pa.array(kept, pa.int64())})) if len(kept) else documents.sparkSession.createDataFrame([], "n long")
+    return saved(numbered.join(F.broadcast(one), "n").select("text", "toxic"), scope)
 
 
 def _counts(sample: DataFrame) -> DataFrame:

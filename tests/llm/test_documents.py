@@ -460,3 +460,8 @@ def test_pipeline(spark, docs, odd):
     for _, stage in corpus_pipeline.STAGES:
         plain = common.saved(stage(spark, plain, DATA), "test")
     assert "sequence_id" in plain.columns
+
+
+def test_one_of_each_family_leads():
+    prints = np.array([0, 1, 0xFFF, 0xFFFFFFFF, 0xFFFFFFFE, 0], np.uint64)
+    assert toxicity.leaders(prints, np.array([0, 0, 0, 0, 0, 1])).tolist() == [0, 3, 5]
