@@ -166,9 +166,10 @@ def search(embeddings: DataFrame, is_query, k: int = K, id_col: str = "vec_id",
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample_size).toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], result)
-    lengths = picked.column("v").combine_chunks().value_lengths().to_numpy()
+    held = picked.column("v").combine_chunks()
+    lengths = held.value_lengths().to_numpy()
     size = int(np.bincount(lengths).argmax())
-    sample = np.array([v for v in picked.column("v").to_pylist() if len(v) == size], np.float64)
+    sample = _matrix(held.filter(pa.array(lengths == size)), size)
     index = Index(sample, centroids)
     rows = rows.filter(F.size("v") == size)
 

@@ -271,7 +271,8 @@ def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = 2
     prints = saved(fingerprints(documents.withColumn("row_hash", row), ("row_hash",)), scope)
     grouped = saved(groups(prints, scope).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")), scope)
     # by root: groups that share an id may have the same component_id
-    first = grouped.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join that follows shuffles both sides and a root with very many rows can be split
+    first = saved(grouped.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1"), scope)
     crowded = grouped.join(first, "root").select("doc_id", "row_hash", (F.col("rank") == F.col("first")).alias("stays"))
     crowded = saved(crowded.distinct(), scope)
     bloom = Bloom(crowded.select(F.xxhash64("doc_id", "row_hash").alias("place")), "place", bloom_bits)

@@ -19,8 +19,8 @@ page's elements are matched with the wrapper in order, and the text of kept
 slots is decoded and joined by blocks.
 
 Pages with one and the same folded tree count once, with sums, before anything
-is shuffled. Wrappers of a host merge in two levels (by a hash of the tree, then
-all), so that a host that has a third of all pages is spread. The wrappers, one
+is shuffled. Wrappers of a host merge in three levels, by a hash and then all,
+so that a host that has a third of all pages is spread. The wrappers, one
 for a host, join the pages by host.
 
 Defined results: null or empty html, or html without an article's text, gives
@@ -377,18 +377,31 @@ def _merge_all(texts: list[str]) -> dict:
     return whole
 
 
-def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
-    """(host, expression, wrapper): the wrapper of each host, as JSON with the kept items marked."""
+def wrappers(pages: DataFrame, parts: int = 16, most: int = 2000) -> DataFrame:
+    """(host, expression, wrapper): the wrapper of each host, as JSON with the kept items marked.
+
+    A task unites pages of one shape as it reads them, and lets go of what it
+    has at most shapes. Its rows then unite in parts * parts groups of a host, in
+    parts groups, and in one, so a group never holds more than a few thousand rows.
+    """
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, str], dict] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(host, shape, json.dumps(w)) for (host, shape), w in seen.items()]
+            seen.clear()
+            return pa.record_batch([pa.array(x, pa.string()) for x in zip(*rows)], ["host", "shape", "wrapper"])
+
         for batch in batches:
-            seen: dict[tuple[str, str], dict] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = infer(parse(page))
                 key = (host, expression(own))
                 seen[key] = unite(seen[key], own) if key in seen else own
-            rows = [(host, shape, json.dumps(w)) for (host, shape), w in seen.items()]
-            yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*rows)], ["host", "shape", "wrapper"])
+                if len(seen) >= most:
+                    yield out()
+        if seen:
+            yield out()
 
     def merged(last: bool):
         def run(group):
@@ -403,7 +416,8 @@ def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
         return run
 
     found = pages.select("host", "html").mapInArrow(shapes, _WRAPPERS)
-    found = found.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(parts))).applyInPandas(merged(last=False), _WRAPPERS)
+    for groups in (parts * parts, parts):
+        found = found.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(groups))).applyInPandas(merged(last=False), _WRAPPERS)
     found = found.groupBy("host").applyInPandas(merged(last=True), _WRAPPERS)
     return found.withColumnRenamed("shape", "expression")
 
