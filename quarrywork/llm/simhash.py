@@ -249,8 +249,8 @@ def groups(prints: DataFrame, scope: str = "session") -> DataFrame:
     """The rows of prints (doc_id, fp, ...) with root, the least fingerprint of their component, and component_id, its least doc_id."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     roots = components(links(first.select("fp")), scope)
-    linked = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    linked = saved(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), scope)
+    least = saved(linked.groupBy("root").agg(F.min("first_doc").alias("component_id")), scope)
     named = linked.join(least, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
