@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import first_of
 
+#: The texts of the errors.
 NO_TIME = "Flight has no estimated or scheduled datetime."
 BACKWARDS = "Departure occurs before arrival."
 

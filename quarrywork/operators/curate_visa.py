@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 PAGE_TYPES = ("visa_index", "visa_detail", "vftf")
+#: Fixed value: the line above a list of countries.
 LISTED = "Countries and places listed by ICA as requiring an entry visa:\n"
 #: Words of a group's title and the footnote that explains them, in the order they are looked up.
 FOOTNOTES_BY_TITLE = (("prc", "2"), ("cis", "1"))
