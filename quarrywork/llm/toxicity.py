@@ -21,7 +21,7 @@ was copied often would pass for a toxic word.
 
 Defined results: null and empty texts have no hits and get the score of such
 documents; of several labels for an id the largest counts, null ones don't;
-rows that share an id are scored one by one, null ids are in the training folds
+rows that share an id are scored one by one and the least of their texts trains, null ids are in the training folds
 but have no label; without labels, or with labels of one kind only, the score
 is 0 (nothing or no toxic document known) or that kind. An empty table gives an
 empty table. Other columns are ignored.
@@ -235,7 +235,8 @@ def _sample(documents: DataFrame, labels: DataFrame, folds: int, size: int, scop
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.filter(crc32_mod("doc_id", folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     rows = saved(chosen, scope)  # at most size rows
-    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").limit(4 * size)
+    # one text of each id: at most size rows, in as many tasks as the shuffle has
+    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     numbered = saved(found.select("text", "toxic", F.monotonically_increasing_id().alias("n")), scope)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
