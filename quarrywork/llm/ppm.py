@@ -13,12 +13,15 @@ each distinct word once. Contexts begin with the word, so the code length of a w
 it stands, and is worked out once for each distinct word.
 
 Training is pretrained, not adaptive: words are counted over all training
-documents, and the n-grams of the trie from the words and their counts. The
-trie that goes to the executors holds the n-grams with the highest counts, at
-most ENTRIES (all n-grams with a count above a power of two; rarer ones are
-reached by escaping); n-grams and words are counted completely.
-
-The word counts of the unigram are too many to send around. The most frequent
+documents, and the n-grams of the trie from the words and their counts. All
+n-grams take part, and no table of them is sent around. A word that training
+texts have never escapes: its code length follows from the counts of its
+beginnings, and words that share their first bytes are worked out together. The
+symbols of other words go to the n-grams whose contexts end in the same two
+bytes (cogroups by a hash of these); only contexts of at most one byte, some
+65,000 n-grams at the most, are sent to all.
+
+Counts and code lengths of words are too many to send around. The most frequent
 words, at most HEAD, go to the executors; every other word of a document is
 looked up exactly with a join on a 64-bit hash of the word.
 
@@ -39,24 +42,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, Words, crc32_mod, mix, saved, slices, small_batches, sums
+from .common import PrefixHash, Words, crc32_mod, mix, partitions_for, saved, slices, small_batches, sums
 
 #: Suffix contexts have up to ORDER bytes; above them is one more, the whole word so far.
 ORDER = 6
 WHOLE = ORDER + 1
-ENTRIES = 1_500_000
 HEAD = 200_000
+#: N-grams of a cogroup, on average.
+GROUP = 100_000
+#: Training words are worked out together with those that share so many first bytes.
+FIRST = 3
 SPACE, END = 0x20, 0x0A
 #: Symbols: the bytes but for ASCII white space, the space after a word, and the end.
 ALPHABET = 252
 
 
+def _joined(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8) if words else np.frombuffer(b" ", np.uint8)
+
+
+def _whole(text: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The whole word so far, from the space at begin: its length and 40 bits of a hash, without the order."""
+    length = np.minimum(at - begin + 1, 255).astype(np.uint64)
+    return (PrefixHash(mix(text[:-1].astype(np.uint64) + np.uint64(1))).of(begin, at + 1) >> np.uint64(24)) | (length << np.uint64(40))
+
+
 def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all symbols of the words (their bytes and a space after each): the symbol; its contexts, uint64[ORDER + 2, symbols];
     the highest order each has; and where each word's symbols start."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8) if words else np.frombuffer(b" ", np.uint8)
+    text = _joined(words)
     n = len(text) - 1
     contexts = np.zeros((ORDER + 2, n), np.uint64)
     for order in range(1, ORDER + 1):
@@ -65,8 +81,7 @@ def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     at = np.arange(n)
     begin = np.repeat(starts[:-1], sizes)  # the place of the space before the word
     if n:
-        length = np.minimum(at - begin + 1, 255).astype(np.uint64)
-        contexts[WHOLE] = (PrefixHash(mix(text[:-1].astype(np.uint64) + np.uint64(1))).of(begin, at + 1) >> np.uint64(24)) | (length << np.uint64(40))
+        contexts[WHOLE] = _whole(text, begin, at)
     contexts |= np.arange(ORDER + 2, dtype=np.uint64)[:, None] << np.uint64(56)
     return text[1:].astype(np.uint64), contexts, np.minimum(at - begin + 1, ORDER), starts
 
@@ -145,6 +160,14 @@ def escapes(depth: np.ndarray, less_size: np.ndarray, distinct: np.ndarray, less
     return {state: new / trials for state, (new, trials) in seen.items()}
 
 
+def _novel(states: dict[tuple[int, int, int], float], depth: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """The chance of an escape from contexts of this depth, total and number of distinct symbols; even for a state not met."""
+    chances = np.full((WHOLE + 25, 64, MANY + 1), 0.5)
+    for state, chance in states.items():
+        chances[state] = chance
+    return chances[depth, _size(total), np.minimum(distinct, MANY).astype(np.int64)]
+
+
 class Trie:
     """The model: sorted keys with their log probabilities, and for each context what escaping from it costs.
 
@@ -160,8 +183,7 @@ class Trie:
         self.contexts, first, at = np.unique(context_of(self.keys), return_index=True, return_inverse=True)
         n = len(self.contexts)
         total = totals[first]
-        state = zip(_depth(self.contexts).tolist(), _size(total).tolist(), np.minimum(distincts[first], MANY).astype(int).tolist())
-        novel = np.array([states.get(x, 0.5) for x in state])
+        novel = _novel(states, _depth(self.contexts), total, distincts[first])
         weight = counts / total[at] * (1 - novel[at]) if n else counts  # the probability of each symbol where no longer context was escaped from
         escape = 1 - np.bincount(at, weight, n)
         # what has followed here is excluded in the next shorter context
@@ -221,17 +243,18 @@ class Trie:
         return float(self.log10(np.array([END], np.uint64), _end_contexts(), np.array([1]))[0])
 
 
-def _word_counts(training: DataFrame) -> DataFrame:
-    """(word, c) over all training texts."""
+def _word_counts(documents: DataFrame) -> DataFrame:
+    """(word, c) of all texts; c counts the training texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 8 << 20):
                 words = Words(part.column(0), lower=True)
-                counts = np.bincount(words.codes, minlength=len(words.distinct))
+                trains = ~np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
+                counts = np.bincount(words.codes, np.repeat(trains, words.counts), len(words.distinct)).astype(np.int64)
                 yield pa.record_batch([words.distinct.cast(pa.string()), pa.array(counts)], ["word", "c"])
 
-    return training.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return documents.select("text", "held_out").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _ngram_counts(vocabulary: DataFrame, ends: int) -> DataFrame:
@@ -276,46 +299,172 @@ def _largest(counted: DataFrame, most: int) -> DataFrame:
     return counted.filter(F.col("c") >= (1 << power))
 
 
-def train(counted: DataFrame, entries: int = ENTRIES) -> Trie:
-    """The model from all n-grams (key, c, shorter); at most so many n-grams and some hundred states come to the driver."""
-    # as context_of() and _depth(); the top byte is below 128, so signed longs will do
-    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.col("key").bitwiseAND(F.lit(0x7F << 56)))
-    contexts = counted.withColumn("context", context).groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("d"), F.count_if(F.col("c") == 1).alias("single"))
+def _context():
+    """As context_of(); the top byte is below 128, so signed longs will do."""
+    return F.shiftright("key", 8).bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.col("key").bitwiseAND(F.lit(0x7F << 56)))
+
+
+def _states(counted: DataFrame) -> dict[tuple[int, int, int], float]:
+    """escapes() of all n-grams (key, c, shorter); some hundred states come to the driver."""
+    contexts = counted.withColumn("context", _context()).groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("d"), F.count_if(F.col("c") == 1).alias("single"))
     level = F.shiftright("context", 56)
     depth = F.when(level == WHOLE, WHOLE + F.least(F.shiftright("context", 40).bitwiseAND(F.lit(0xFF)), F.lit(24))).otherwise(level)
     log2 = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1)))).cast("long")
     rows = contexts.groupBy(depth.alias("depth"), log2(F.col("total") - 1).alias("less_size"), F.least("d", F.lit(MANY)).alias("distinct"), F.least(F.col("d") - 1, F.lit(MANY)).alias("less")).agg(F.sum("total").alias("total"), F.sum("single").alias("single")).toPandas()
-    states = escapes(*(rows[c].to_numpy(np.int64) for c in ("depth", "less_size", "distinct", "less", "total", "single")))
-    kept = _largest(counted, entries).withColumn("context", context).join(contexts, "context").select("key", "c", "shorter", "total", "d").toArrow()
-    column = lambda c: kept.column(c).to_numpy()
-    return Trie(column("key").view(np.uint64), column("c"), column("shorter").view(np.uint64), column("total"), column("d"), states)
+    return escapes(*(rows[c].to_numpy(np.int64) for c in ("depth", "less_size", "distinct", "less", "total", "single")))
+
+
+def trie_of(keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray, states: dict[tuple[int, int, int], float]) -> Trie:
+    """The model of n-grams among which every context is complete."""
+    _, at = np.unique(context_of(keys), return_inverse=True)
+    return Trie(keys, counts, shorter, np.bincount(at, counts)[at], np.bincount(at)[at], states)
+
+
+# ---- code lengths of words
+
+
+def known_scores(words: list[bytes], counts: np.ndarray, short: tuple[np.ndarray, np.ndarray, np.ndarray], states: dict[tuple[int, int, int], float]) -> np.ndarray:
+    """log10 of the probability of each training word with the space after it, as Trie.words() gives it.
+
+    Every symbol follows the whole word so far, so the counts of the beginnings
+    cancel out but for the first and last. words: all training words with these
+    first FIRST bytes; short: the contexts, totals and distinct symbols of shorter beginnings.
+    """
+    if not words:
+        return np.zeros(0)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    text, at = _joined(words), np.arange(starts[-1])
+    begin = np.repeat(starts[:-1], sizes)
+    context = _whole(text, begin, at) | np.uint64(WHOLE << 56)
+    found, slot = np.unique(context, return_inverse=True)
+    total = np.bincount(slot, np.repeat(counts, sizes), len(found))
+    distinct = np.bincount(np.searchsorted(found, context_of(np.unique(_key(context, text[1:].astype(np.uint64))))), minlength=len(found))
+    few = np.flatnonzero((found >> np.uint64(40)) & np.uint64(0xFF) <= FIRST)  # beginnings of less than FIRST bytes, and a space
+    place = np.searchsorted(short[0], found[few])
+    total[few], distinct[few] = short[1][place], short[2][place]
+    stay = np.log10(1 - _novel(states, _depth(found), total, distinct))
+    return np.log10(counts / total[slot[starts[:-1]]]) + sums(stay[slot], starts)
+
+
+def _score_known(vocabulary: DataFrame, short: tuple[np.ndarray, np.ndarray, np.ndarray], states: dict[tuple[int, int, int], float]) -> DataFrame:
+    """(word, c, score) of all training words (word, c)."""
+    model = vocabulary.sparkSession.sparkContext.broadcast((short, states))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list[bytes], np.ndarray]] = []
+        goal, size = 20_000, 0
+
+        def joined() -> tuple[list[bytes], np.ndarray]:
+            return [w for h in held for w in h[0]], np.concatenate([h[1] for h in held])
+
+        def out(words: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            score = known_scores(words, counts, *model.value)
+            yield pa.record_batch([pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts), pa.array(score)], ["word", "c", "score"])
+
+        for batch in batches:
+            held.append((batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= goal:
+                words, counts = joined()
+                cut = len(words)
+                while cut and words[cut - 1][:FIRST] == words[-1][:FIRST]:  # the last of them may go on in the next batch
+                    cut -= 1
+                if cut:
+                    yield from out(words[:cut], counts[:cut])
+                held[:], size = [(words[cut:], counts[cut:])], len(words) - cut
+                goal = max(20_000, 2 * size)
+        if held:
+            yield from out(*joined())
+
+    first = F.substring(F.col("word").cast("binary"), 1, FIRST)
+    return vocabulary.select("word", "c").repartition(first).sortWithinPartitions(first, "word").mapInArrow(run, "word string, c long, score double")
+
+
+def _score_unseen(words: DataFrame, counted: DataFrame, base: tuple[np.ndarray, np.ndarray, np.ndarray], states: dict[tuple[int, int, int], float], group: int) -> DataFrame:
+    """(word, score) of words that no training text has, word being their hash: their symbols meet the n-grams of contexts that end in the same two bytes."""
+    spark = words.sparkSession
+    model = spark.sparkContext.broadcast((base, states))
+    groups = max(partitions_for(spark), 1 + counted.count() // group)
+    bucket = lambda tail: F.pmod(F.xxhash64(tail), F.lit(groups)).alias("bucket")
+
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                spelt = part.column(0).cast(pa.binary()).to_pylist()
+                symbol, contexts, depth, starts = _symbols(spelt)
+                hashes = np.fromiter(map(_word_hash, spelt), np.uint64, len(spelt))
+                columns = (np.repeat(hashes, np.diff(starts)), symbol, contexts[ORDER] & np.uint64((1 << 48) - 1), contexts[WHOLE])
+                for lo in range(0, len(symbol), 50_000):
+                    yield pa.record_batch([*(pa.array(x[lo : lo + 50_000].view(np.int64)) for x in columns), pa.array(depth[lo : lo + 50_000])], ["word", "symbol", "suffix", "whole", "depth"])
+
+    def code(ngrams: pa.Table, asked: pa.Table) -> pa.Table:
+        base, states = model.value
+        column = lambda t, c: t.column(c).to_numpy().astype(np.int64, copy=False)
+        if not asked.num_rows:
+            return pa.table({"word": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        own = column(ngrams, "key").view(np.uint64), column(ngrams, "c"), column(ngrams, "shorter").view(np.uint64)
+        trie = trie_of(*(np.concatenate(x) for x in zip(base, own)), states)
+        suffix = column(asked, "suffix").view(np.uint64)
+        contexts = np.stack([*((suffix & np.uint64((1 << 8 * order) - 1)) | np.uint64(order << 56) for order in range(ORDER + 1)), column(asked, "whole").view(np.uint64)])
+        value = trie.log10(column(asked, "symbol").view(np.uint64), contexts, column(asked, "depth"))
+        word, at = np.unique(column(asked, "word"), return_inverse=True)
+        return pa.table({"word": word, "score": np.bincount(at, value, len(word))})
+
+    # symbols after the space alone have only contexts that all cogroups have
+    asked = words.select("word").mapInArrow(requests, "word long, symbol long, suffix long, whole long, depth long")
+    asked = asked.withColumn("bucket", bucket(F.when(F.col("depth") < 2, F.col("word")).otherwise(F.col("suffix").bitwiseAND(F.lit(0xFFFF)))))
+    known = counted.filter(~_in_base()).withColumn("bucket", bucket(_suffix().bitwiseAND(F.lit(0xFFFF))))
+    coded = known.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(code, "word long, score double")
+    return coded.groupBy("word").agg(F.sum("score").alias("score"))
+
+
+def _suffix():
+    """The longest suffix context of an n-gram: its own, or the one below the whole word so far."""
+    return F.when(F.shiftright("key", 56) == WHOLE, F.col("shorter")).otherwise(_context())
+
+
+def _in_base():
+    """Whether that has at most one byte."""
+    return F.shiftright(_suffix(), 56) < 2
 
 
 def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)  # as Spark's xxhash64 of a string
 
 
-def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, entries: int = ENTRIES, head: int = HEAD, scope: str = "session") -> DataFrame:
+def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, head: int = HEAD, group: int = GROUP, scope: str = "session") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     small_batches(documents.sparkSession)
     spark = documents.sparkSession
     fold = crc32_mod("doc_id", folds)
     source = documents.select("doc_id", "text", F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"))
-    vocabulary = saved(_word_counts(source.filter("not held_out")), scope)
+    everything = saved(_word_counts(source), scope)
+    vocabulary = everything.filter("c > 0")
     ends = source.filter("not held_out").count()
     facts = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).head()
     train_tokens, distinct = (facts["n"] or 0) + ends, facts["v"] + (ends > 0)
     log_all = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
 
-    trie = train(saved(_ngram_counts(vocabulary, ends), scope), entries)
-    common = _largest(vocabulary, head).toArrow()
+    counted = saved(_ngram_counts(vocabulary, ends), scope)
+    states = _states(counted)
+    column = lambda t, c: t.column(c).to_numpy()
+    table = counted.filter(_in_base()).toArrow()
+    base = column(table, "key").view(np.uint64), column(table, "c"), column(table, "shorter").view(np.uint64)
+    begins = (F.shiftright("key", 56) == WHOLE) & (F.shiftright("key", 48).bitwiseAND(F.lit(0xFF)) <= FIRST)
+    table = counted.filter(begins).groupBy(_context().alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("d")).sort("context").toArrow()
+    short = column(table, "context").view(np.uint64), column(table, "total"), column(table, "d")
+    known_words = saved(_score_known(vocabulary, short, states), scope)
+    unseen = _score_unseen(everything.filter("c = 0"), counted, base, states, group)
+
+    common = _largest(known_words, head).toArrow()
     head_words = common.column("word").combine_chunks() if common.num_rows else pa.array([], pa.string())
     head_counts = common.column("c").to_numpy()
-    model = spark.sparkContext.broadcast((trie, head_words, head_counts, np.log10(head_counts + 0.5), trie.words(head_words.cast(pa.binary()).to_pylist())))
-    end_known, end_base, end_score = int(ends > 0), float(np.log10(ends + 0.5)), trie.end()
+    model = spark.sparkContext.broadcast((head_words, np.log10(head_counts + 0.5), common.column("score").to_numpy()))
+    end_known, end_base, end_score = int(ends > 0), float(np.log10(ends + 0.5)), trie_of(*base, states).end()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, head_words, _, head_logs, head_scores = model.value
+        head_words, head_logs, head_scores = model.value
         for batch in batches:
             for part in slices(batch, 3, 4 << 20):
                 words = Words(part.column(3), lower=True)
@@ -326,7 +475,6 @@ def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, entries:
                 value, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
                 common = at >= 0
                 value[common], base[common], known[common] = head_scores[at[common]], head_logs[at[common]], 1
-                value[rare] = trie.words(rare_words)
                 hashes = np.zeros(n, np.int64)
                 hashes[rare] = np.fromiter(map(_word_hash, rare_words), np.uint64, len(rare)).view(np.int64)
                 # of the rare words, each document's distinct ones and how often
@@ -346,9 +494,11 @@ def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, entries:
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
     # rare words are below the head's least count, so the frequent ones need not take part
     least = int(head_counts.min()) if len(head_counts) else None
-    counts = vocabulary if least is None else vocabulary.filter(F.col("c") < least)
-    looked_up = rare.join(counts.select(F.xxhash64("word").alias("word"), "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    per_row = looked_up.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("rare_base"))
+    counts = known_words if least is None else known_words.filter(F.col("c") < least)
+    counts = counts.select(F.xxhash64("word").alias("word"), "c", "score").union(unseen.select("word", F.lit(0).cast("long"), "score"))
+    looked_up = rare.join(counts, "word")
+    rare_sums = {"rare_known": F.when(F.col("c") > 0, F.col("times")).otherwise(0), "rare_base": F.col("times") * F.log10(F.col("c") + 0.5), "rare_score": F.col("times") * F.col("score")}
+    per_row = looked_up.groupBy("row").agg(*[F.sum(x).alias(name) for name, x in rare_sums.items()])
     joined = scored.drop("rare").join(per_row, "row", "left")
     return joined.select(
         "doc_id",
@@ -357,5 +507,5 @@ def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, entries:
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

@@ -231,6 +231,27 @@ def test_known_words_are_likelier_and_no_model_is_even():
     assert nothing.words([b"ab"])[0] == pytest.approx(-3 * math.log10(ppm.ALPHABET))
 
 
+def test_scores_use_all_ngrams(spark):
+    rng = np.random.default_rng(6)
+    letters = rng.integers(97, 123, 2_000_000).astype(np.uint8).tobytes().decode()
+    cuts = np.cumsum(rng.integers(3, 13, 240_000))
+    spelt = [letters[i:j] for i, j in zip(cuts, cuts[1:])]  # over two million n-grams, nearly all of them once
+    texts = [(i, " ".join(spelt[i::60]) + " abcab é" * (i % 7), zlib.crc32(str(i).encode()) % 5 == 1) for i in range(60)]
+    count = collections.Counter(w.encode() for _, t, held in texts if not held for w in words(t))
+    ends = sum(not held for *_, held in texts)
+    keys, c, shorter = ppm.ngrams(list(count), np.array(list(count.values()), np.int64))
+    more = [np.array(x, np.int64) for x in zip(*ppm.end_ngrams(ends))]
+    keys, c, shorter = np.concatenate([keys, more[0].view(np.uint64)]), np.concatenate([c, more[1]]), np.concatenate([shorter, more[2].view(np.uint64)])
+    assert len(keys) > 1_500_000
+    contexts, at = np.unique(ppm.context_of(keys), return_inverse=True)
+    total, distinct, single = np.bincount(at, c).astype(np.int64), np.bincount(at), np.bincount(at, c == 1)
+    states = ppm.escapes(ppm._depth(contexts), ppm._size(total - 1), np.minimum(distinct, 4), np.minimum(distinct - 1, 4), total, single)
+    whole = ppm.Trie(keys, c, shorter, total[at], distinct[at], states)
+    expected = {i: whole.words([w.encode() for w in words(t)]).sum() + whole.end() for i, t, _ in texts}
+    got = ppm.score(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), head=5000).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(expected)
+
+
 # ---- 5: toxicity
 
 
