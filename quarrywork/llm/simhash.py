@@ -262,14 +262,19 @@ def near_duplicates(documents: DataFrame, scope: str = "session") -> DataFrame:
 
 
 def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = 24) -> DataFrame:
-    """The rows of documents without near duplicates: of each group the one with the least doc_id (null last, then by a hash of the text).
+    """The rows of documents without near duplicates: of each group the one with the least doc_id (null last, then by a hash of the text)."""
+    prints = saved(fingerprints(documents.withColumn("row_hash", F.xxhash64("text")), ("row_hash",)), scope)
+    return first_of_groups(documents, groups(prints, scope), scope, bloom_bits)
+
+
+def first_of_groups(documents: DataFrame, grouped: DataFrame, scope: str = "session", bloom_bits: int = 24) -> DataFrame:
+    """The first row of each group, from (doc_id, row_hash, root) of all rows; row_hash is xxhash64 of the text.
 
     Rows that go, and rows found more than once, are few; a Bloom filter finds
     most others, which stay without a join. The rest join exactly.
     """
     row = F.xxhash64("text")
-    prints = saved(fingerprints(documents.withColumn("row_hash", row), ("row_hash",)), scope)
-    grouped = saved(groups(prints, scope).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")), scope)
+    grouped = saved(grouped.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")), scope)
     # by root: groups that share an id may have the same component_id
     # written, so that the join that follows shuffles both sides and a root with very many rows can be split
     first = saved(grouped.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1"), scope)
