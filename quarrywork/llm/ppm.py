@@ -1,34 +1,36 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes, beside a smoothed word unigram.
 
-The text is coded as its tokens: the words, lower-cased A-Z, each followed by a
-space, then one end. The model is a trie of byte contexts: the bytes of a word
-so far and a space before them, all of these or the last ORDER at most. A byte is predicted in the
-longest context the trie has; if it has not followed there, an escape is coded
-and the next shorter context predicts it, with the symbols of the longer one
-excluded, down to an even choice among the bytes never seen. The chance of an
-escape is estimated from what contexts of the same depth, total and number of
-distinct symbols have met when one occurrence is left out. Above the suffixes
-stands the whole word so far, with the counts of the text; the suffixes count
-each distinct word once. Contexts begin with the word, so the code length of a word is the same wherever
-it stands, and is worked out once for each distinct word.
-
-Training is pretrained, not adaptive: words are counted over all training
-documents, and the n-grams of the trie from the words and their counts. All
-n-grams take part, and no table of them is sent around. A word that training
-texts have never escapes: its code length follows from the counts of its
-beginnings, and words that share their first bytes are worked out together. The
-symbols of other words go to the n-grams whose contexts end in the same two
-bytes (cogroups by a hash of these); only contexts of at most one byte, some
-65,000 n-grams at the most, are sent to all.
-
-Counts and code lengths of words are too many to send around. The most frequent
-words, at most HEAD, go to the executors; every other word of a document is
-looked up exactly with a join on a 64-bit hash of the word.
+A text is coded as a row of symbols: its words, lower-cased A-Z, each followed
+by a space, then one end. The model is a trie of byte contexts of up to ORDER
+bytes, which run on across spaces into the words before. Before the first
+symbol stand ends. A symbol is predicted in the longest context that training
+texts have; if it has not followed there, an escape is coded and the next
+shorter context predicts it, with the symbols of the longer one excluded, down
+to an even choice among the bytes never seen. Escapes are estimated by method
+D: of d distinct symbols in n occurrences each has half an occurrence less than
+it was counted, and the escape has d halves. So the probabilities after any
+context sum to one.
+
+Training is pretrained: (context, symbol) is counted over all training texts,
+and what is counted grows with them; nothing is left out. The code length of a
+symbol depends on the ORDER bytes before it and on itself, six bytes that make
+one long integer, so the corpus comes down to its distinct six-byte runs. Those
+whose contexts end in the same three bytes meet in one group and hold all
+contexts of three to five bytes that end so; contexts of up to two bytes are
+sent to all. A group has at most 225^3 runs (two bytes before the three and the
+symbol are free), and so has the table that is sent (three bytes), whatever the
+input.
+
+Code lengths of runs and counts of words are too many to send around. The most
+frequent, at most HEAD_RUNS and HEAD_WORDS, go to the executors; every other
+run or word of a document is looked up exactly with a join. Which way is taken
+changes no score.
 
 Defined results: a null text counts as empty: one token, the end. Rows that
-share an id are scored one by one. A null id is taken as the empty text, so it
-trains. Without training documents nothing is known and every symbol is an even
-choice. An empty table gives an empty table. Other columns are ignored.
+share an id are scored one by one. A null id has no fold, so it trains. Without
+training texts every symbol is as likely as any other. Very long texts are
+coded in pieces of PIECE symbols, with the contexts before. An empty table
+gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,256 +44,271 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, Words, crc32_mod, mix, partitions_for, saved, slices, small_batches, sums
-
-#: Suffix contexts have up to ORDER bytes; above them is one more, the whole word so far.
-ORDER = 6
-WHOLE = ORDER + 1
-HEAD = 200_000
-#: N-grams of a cogroup, on average.
-GROUP = 100_000
-#: Training words are worked out together with those that share so many first bytes.
-FIRST = 3
-SPACE, END = 0x20, 0x0A
-#: Symbols: the bytes but for ASCII white space, the space after a word, and the end.
-ALPHABET = 252
-
-
-def _joined(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8) if words else np.frombuffer(b" ", np.uint8)
-
-
-def _whole(text: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The whole word so far, from the space at begin: its length and 40 bits of a hash, without the order."""
-    length = np.minimum(at - begin + 1, 255).astype(np.uint64)
-    return (PrefixHash(mix(text[:-1].astype(np.uint64) + np.uint64(1))).of(begin, at + 1) >> np.uint64(24)) | (length << np.uint64(40))
-
-
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all symbols of the words (their bytes and a space after each): the symbol; its contexts, uint64[ORDER + 2, symbols];
-    the highest order each has; and where each word's symbols start."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    text = _joined(words)
-    n = len(text) - 1
-    contexts = np.zeros((ORDER + 2, n), np.uint64)
-    for order in range(1, ORDER + 1):
-        contexts[order] = contexts[order - 1]
-        contexts[order, order - 1 :] |= text[: max(0, n - order + 1)].astype(np.uint64) << np.uint64(8 * (order - 1))
-    at = np.arange(n)
-    begin = np.repeat(starts[:-1], sizes)  # the place of the space before the word
-    if n:
-        contexts[WHOLE] = _whole(text, begin, at)
-    contexts |= np.arange(ORDER + 2, dtype=np.uint64)[:, None] << np.uint64(56)
-    return text[1:].astype(np.uint64), contexts, np.minimum(at - begin + 1, ORDER), starts
-
-
-def _key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Order in the top byte, then the context's bytes, at most 6 (of the whole word so far: its length and 40 bits of a hash), the symbol last."""
-    return (context & np.uint64(0xFF << 56)) | ((context & np.uint64((1 << 48) - 1)) << np.uint64(8)) | symbol
-
-
-def ngrams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all (context, symbol) in the words, how often they occur, and the next shorter context.
-
-    Suffix contexts count each distinct word once: they predict where the whole
-    word so far has failed to, and new words are like distinct words, not like
-    running text.
-    """
-    symbol, contexts, depth, starts = _symbols(words)
-    weight = np.repeat(counts, np.diff(starts))
-    keys, totals, shorter = [], [], []
-    for order in range(ORDER + 2):
-        there = np.arange(len(symbol)) if order == WHOLE else np.flatnonzero(depth >= order)
-        found, first, at = np.unique(_key(contexts[order, there], symbol[there]), return_index=True, return_inverse=True)
-        keys.append(found)
-        totals.append(np.bincount(at, weight[there] if order == WHOLE else None, len(found)).astype(np.int64))
-        first = there[first]
-        shorter.append(contexts[depth[first], first] if order == WHOLE else contexts[max(0, order - 1), first])
-    return np.concatenate(keys), np.concatenate(totals), np.concatenate(shorter)
-
-
-def _end_contexts() -> np.ndarray:
-    return _symbols([b""])[1]
-
-
-def end_ngrams(ends: int) -> list[tuple[int, int, int]]:
-    """Keys, counts and next shorter contexts of the end, in the contexts it can have."""
-    contexts = _end_contexts()
-    out = []
-    for order, count, less in ((0, 1, 0), (1, 1, 0), (WHOLE, ends, 1)):
-        key, context = (x.view(np.int64)[0].item() for x in (_key(contexts[order], np.array([END], np.uint64)), contexts[less]))
-        out.append((key, count, context))
+from .common import Words, crc32_mod, partitions_for, saved, slices, small_batches, sums
+
+ORDER = 5
+#: Contexts of so many bytes and less are sent to all.
+LOW = 2
+HEAD_WORDS, HEAD_RUNS = 200_000, 1 << 20
+#: Symbols that are coded at a time; distinct runs that a task holds; runs that are priced at a time.
+PIECE, HELD, GROUP = 1 << 21, 3_000_000, 200_000
+SPACE, END = 0x20, 0xFF
+#: Symbols: the bytes but for A-Z, ASCII white space and the end's own, and the space and the end.
+ALPHABET = 225
+
+_SYMBOL = np.arange(256, dtype=np.uint8)
+_SYMBOL[0x41:0x5B] += 0x20
+_SYMBOL[0x09:0x0E] = SPACE
+
+
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, one after another, and where each text's start."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ended = pc.binary_join_element_wise(texts, pa.scalar(bytes([SPACE, END]), pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    if not len(ended):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    flat = _SYMBOL[np.frombuffer(ended.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    space = flat == SPACE
+    keep = ~space
+    keep[1:] |= (flat[:-1] != SPACE) & (flat[:-1] != END)  # a space stays behind a word
+    return flat[keep], np.concatenate([[0], np.cumsum(np.add.reduceat(keep, offsets[:-1], dtype=np.int64))])
+
+
+def runs(text: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Of the symbols text[lo:hi], each with the ORDER before it: the symbol in the lowest byte, the nearest in the next."""
+    begin = max(0, lo - ORDER)
+    part = text[begin:hi].astype(np.uint64)
+    out = part.copy()
+    for j in range(1, min(ORDER, len(part) - 1) + 1):
+        out[j:] |= part[:-j] << np.uint64(8 * j)
+    first = starts[:-1]
+    ends = (1 << 8 * (ORDER + 1)) - 1
+    for j in range(ORDER):  # nothing from the text before
+        at = first[(first + j < starts[1:]) & (first + j >= lo) & (first + j < hi)] + j - begin
+        own = (1 << 8 * (j + 1)) - 1
+        out[at] = (out[at] & np.uint64(own)) | np.uint64(ends - own)
+    return out[lo - begin :]
+
+
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    return np.unique(keys, return_counts=True)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tallies in one. Counts ride in the low 16 bits, so that one plain sort will do; larger counts are several rows."""
+    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    most = (1 << 16) - 1
+    large = np.flatnonzero(counts > most)
+    if len(large):
+        more = counts[large] // most
+        keys = np.concatenate([keys, np.repeat(keys[large], more)])
+        counts = np.concatenate([np.where(counts > most, counts % most, counts), np.full(int(more.sum()), most)])
+    packed = np.sort((keys << np.uint64(16)) | counts.astype(np.uint64))
+    keys = packed >> np.uint64(16)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat((packed & np.uint64(most)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+
+
+# ---- the model
+
+
+class Level:
+    """All n-grams of one order (keys: context, then symbol) with their counts, and what their contexts hold."""
+
+    def __init__(self, order: int, keys: np.ndarray, counts: np.ndarray, lower: Level | None):
+        self.order, self.keys, self.counts = order, keys, counts.astype(float)
+        self.contexts, slot = np.unique(keys >> np.uint64(8), return_inverse=True)
+        n = len(self.contexts)
+        self.total, self.distinct = np.bincount(slot, self.counts, n), np.bincount(slot, minlength=n).astype(float)
+        #: What the next shorter context has of the symbols that are excluded there.
+        self.excluded = np.bincount(slot, lower.counts[np.searchsorted(lower.keys, keys & np.uint64((1 << 8 * order) - 1))], n) if lower else np.zeros(n)
+
+    def shorter(self) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of the next lower order."""
+        keys, at = np.unique(self.keys & np.uint64((1 << 8 * self.order) - 1), return_inverse=True)
+        return keys, np.bincount(at, self.counts, len(keys))
+
+
+def levels(keys: np.ndarray, counts: np.ndarray, top: int, below: list[Level] | None = None) -> list[Level]:
+    """The levels up to top from the n-grams of that order; below has the lowest ones if these are known."""
+    bottom = len(below or ())
+    tables = [(keys, counts.astype(float))]
+    for order in range(top, bottom, -1):
+        found, at = np.unique(tables[-1][0] & np.uint64((1 << 8 * order) - 1), return_inverse=True)
+        tables.append((found, np.bincount(at, tables[-1][1], len(found))))
+    out = list(below or ())
+    for order, table in zip(range(bottom, top + 1), reversed(tables)):
+        out.append(Level(order, *table, out[-1] if out else None))
     return out
 
 
-def context_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> np.uint64(8)) & np.uint64((1 << 48) - 1)) | (keys & np.uint64(0xFF << 56))
-
-
-def _depth(contexts: np.ndarray) -> np.ndarray:
-    """The order of a suffix context; of a whole word so far, its length above these orders."""
-    level = (contexts >> np.uint64(56)).astype(np.int64)
-    return np.where(level == WHOLE, WHOLE + np.minimum((contexts >> np.uint64(40)).astype(np.int64) & 0xFF, 24), level)
-
-
-def _size(total: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(total, 1))).astype(np.int64)
-
-
-MANY = 4  # distinct symbols that tell states apart
-
-
-def escapes(depth: np.ndarray, less_size: np.ndarray, distinct: np.ndarray, less: np.ndarray, total: np.ndarray, single: np.ndarray) -> dict[tuple[int, int, int], float]:
-    """Of each state (depth, log2 of the total, distinct symbols up to MANY): the chance that the next symbol is new.
-
-    The rows sum up contexts by depth, the size of their total less one, and
-    their distinct symbols as they are and less one: total occurrences, and
-    those that are a symbol's only one. Leaving one out: a context that loses an occurrence
-    was in the state that remains, and met a new symbol where the occurrence
-    was a symbol's only one. Half an escape in one trial is added to each state.
-    """
-    seen: dict[tuple[int, int, int], list[float]] = {}
-    for o, n, d, fewer, t, s in zip(*(x.tolist() for x in (depth, less_size, distinct, less, total, single))):
-        for state, trials, new in (((o, n, fewer), s, s), ((o, n, d), t - s, 0.0)):
-            slot = seen.setdefault(state, [0.5, 1.0])
-            slot[0] += new
-            slot[1] += trials
-    return {state: new / trials for state, (new, trials) in seen.items()}
-
-
-def _novel(states: dict[tuple[int, int, int], float], depth: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    """The chance of an escape from contexts of this depth, total and number of distinct symbols; even for a state not met."""
-    chances = np.full((WHOLE + 25, 64, MANY + 1), 0.5)
-    for state, chance in states.items():
-        chances[state] = chance
-    return chances[depth, _size(total), np.minimum(distinct, MANY).astype(np.int64)]
+def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(where):
+        return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
+    at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+    return at, where[at] == what
+
+
+def code(keys: np.ndarray, model: list[Level]) -> np.ndarray:
+    """log10 of the probability of each run's last symbol after the others."""
+    out = np.zeros(len(keys))
+    todo, came = np.arange(len(keys)), np.full(len(keys), -1)  # came: the longer context that was escaped from
+    for level in reversed(model):
+        key = keys[todo] & np.uint64((1 << 8 * (level.order + 1)) - 1)
+        node, there = _find(level.contexts, key >> np.uint64(8))
+        at, seen = _find(level.keys, key)
+        now, node, hit, at = todo[there], node[there], seen[there], at[there]
+        total, distinct = level.total[node], level.distinct[node]
+        escaped = came[now] >= 0
+        if escaped.any():
+            longer = came[now][escaped]
+            total[escaped] -= above.excluded[longer]
+            distinct[escaped] -= above.distinct[longer]
+        out[now[hit]] += np.log10((level.counts[at[hit]] - 0.5) / total[hit])
+        gone = ~hit & (distinct > 0)  # with nothing else to come here, the way down is certain
+        out[now[gone]] += np.log10(0.5 * distinct[gone] / total[gone])
+        came[now[~hit]] = node[~hit]
+        todo, above = np.delete(todo, np.flatnonzero(there)[hit]), level
+    unseen = ALPHABET - len(model[0].keys)
+    out[todo] -= np.log10(unseen if unseen > 0 else ALPHABET)
+    return out
 
 
-class Trie:
-    """The model: sorted keys with their log probabilities, and for each context what escaping from it costs.
+class Head:
+    """Values of frequent keys, as a hash table that NumPy can ask: the first step holds most, the next what has clashed there."""
+
+    STEP = 0x9E3779B97F4A7C15
+    NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, counts: np.ndarray):
+        order = np.argsort(-counts, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.steps: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
+
+    def _build(self) -> None:
+        keys, values, factor = self.keys, self.values, self.STEP
+        while len(keys) or not self.steps:
+            bits = max(4, int(2 * len(keys)).bit_length())
+            slots = ((keys * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+            held, value = np.full(1 << bits, self.NONE), np.zeros(1 << bits)
+            held[slots[::-1]], value[slots[::-1]] = keys[::-1], values[::-1]  # the more frequent one stays
+            self.steps.append((np.uint64(factor), np.uint64(64 - bits), held, value))
+            left = held[slots] != keys
+            keys, values, factor = keys[left], values[left], (factor * self.STEP + 2) % (1 << 64) | 1
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys, 0 for those it hasn't, and the places of these."""
+        if not self.steps:
+            self._build()
+        out, todo = np.zeros(len(keys)), None
+        for factor, shift, held, value in self.steps:
+            now = keys if todo is None else keys[todo]
+            slots = ((now * factor) >> shift).view(np.int64)
+            hit = held[slots] == now
+            if todo is None:
+                np.multiply(value[slots], hit, out=out)
+                todo = np.flatnonzero(~hit)
+            else:
+                out[todo[hit]] = value[slots[hit]]
+                todo = todo[~hit]
+        return out, todo
+
+
+# ---- on Spark
+
+
+def _gathered(documents: DataFrame) -> DataFrame:
+    """(word, key, c): all words (key null) and runs (word null) of all texts; c counts training texts only."""
 
-    keys, counts and shorter are of the n-grams kept. totals and distincts are
-    of their contexts over all n-grams, so what has been left out counts as
-    escaping. states is from escapes(). With all n-grams kept the probabilities
-    after a context sum to one, else to a little less.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray, totals: np.ndarray, distincts: np.ndarray, states: dict[tuple[int, int, int], float]):
-        order = np.argsort(keys)
-        self.keys, counts, shorter, totals, distincts = keys[order], counts[order].astype(float), shorter[order], totals[order].astype(float), distincts[order]
-        self.contexts, first, at = np.unique(context_of(self.keys), return_index=True, return_inverse=True)
-        n = len(self.contexts)
-        total = totals[first]
-        novel = _novel(states, _depth(self.contexts), total, distincts[first])
-        weight = counts / total[at] * (1 - novel[at]) if n else counts  # the probability of each symbol where no longer context was escaped from
-        escape = 1 - np.bincount(at, weight, n)
-        # what has followed here is excluded in the next shorter context
-        level = (self.contexts >> np.uint64(56)).astype(np.int64)
-        parent, there = self._find(self.contexts, shorter[first])
-        lower, known = self._find(self.keys, _key(shorter, self.keys & np.uint64(0xFF)))
-        deep = (level[at] > 0) & known
-        left = 1 - escape[parent] - np.bincount(at[deep], weight[lower[deep]], n) if n else escape
-        #: Whether the next shorter context is in the model; if not, a still shorter one speaks for itself.
-        self.usable = usable = (level > 0) & there
-        again = np.where(left > 1e-9, escape[parent], 1.0) if n else escape  # with nothing else to come there, the way down is certain
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.log_weight, self.log_escape = np.log10(weight), np.log10(np.maximum(escape, 1e-12))
-            #: Divides what the shorter context says of a symbol; escaping from there costs as much as ever.
-            self.log_left = np.where(usable, np.log10(np.maximum(left, 1e-9)) - np.log10(np.maximum(1 - again, 1e-12)), 0.0)
-            self.log_again = np.where(usable, np.log10(np.maximum(again, 1e-12)), 0.0)
-        unseen = ALPHABET - (np.bincount(at, minlength=n)[0] if n else 0)  # the root sorts first
-        self.log_even = -np.log10(unseen) if unseen > 0 else -np.log10(ALPHABET)
-
-    @staticmethod
-    def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(where):
-            return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
-        at = np.minimum(np.searchsorted(where, what), len(where) - 1)
-        return at, where[at] == what
-
-    def log10(self, symbol: np.ndarray, contexts: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol."""
-        out = np.zeros(len(symbol))
-        came = np.full(len(symbol), -1, np.int64)  # the context that was escaped from
-        todo = np.arange(len(symbol))
-        for order in range(ORDER + 1, -1, -1):
-            now = todo if order == WHOLE else todo[depth[todo] >= order]
-            node, there = self._find(self.contexts, contexts[order, now])
-            now, node = now[there], node[there]
-            at, seen = self._find(self.keys, _key(contexts[order, now], symbol[now]))
-            first = came[now] < 0
-            first[~first] = ~self.usable[came[now[~first]]]
-            hit, miss = now[seen], now[~seen]
-            if len(hit):
-                out[hit] += self.log_weight[at[seen]] - np.where(first[seen], 0.0, self.log_left[came[hit]])
-                done = np.zeros(len(symbol), bool)
-                done[hit] = True
-                todo = todo[~done[todo]]
-            if len(miss):
-                out[miss] += np.where(first[~seen], self.log_escape[node[~seen]], self.log_again[came[miss]])
-                came[miss] = node[~seen]
-        out[todo] += self.log_even
-        return out
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word with the space after it."""
-        symbol, contexts, depth, starts = _symbols(words)
-        return sums(self.log10(symbol, contexts, depth), starts) if len(words) else np.zeros(0)
-
-    def end(self) -> float:
-        return float(self.log10(np.array([END], np.uint64), _end_contexts(), np.array([1]))[0])
-
-
-def _word_counts(documents: DataFrame) -> DataFrame:
-    """(word, c) of all texts; c counts the training texts only."""
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = merged(held)
+            held.clear()
+            for at in range(0, len(keys), 50_000):
+                n = len(keys[at : at + 50_000])
+                yield pa.record_batch([pa.nulls(n, pa.string()), pa.array(keys[at : at + n].view(np.int64)), pa.array(counts[at : at + n])], ["word", "key", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 8 << 20):
-                words = Words(part.column(0), lower=True)
+            for part in slices(batch, 0, 2 << 20):
                 trains = ~np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
+                words = Words(part.column(0), lower=True)
                 counts = np.bincount(words.codes, np.repeat(trains, words.counts), len(words.distinct)).astype(np.int64)
-                yield pa.record_batch([words.distinct.cast(pa.string()), pa.array(counts)], ["word", "c"])
+                yield pa.record_batch([words.distinct.cast(pa.string()), pa.nulls(len(counts), pa.int64()), pa.array(counts)], ["word", "key", "c"])
+                text, starts = symbols(part.column(0))
+                for lo in range(0, len(text), PIECE):
+                    hi = min(len(text), lo + PIECE)
+                    keys = runs(text, starts, lo, hi)
+                    inside = np.clip(starts, lo, hi)
+                    learnt = np.repeat(trains, np.diff(inside))
+                    held.append(tally(keys[learnt]))
+                    others = np.unique(keys[~learnt])
+                    held.append((others, np.zeros(len(others), np.int64)))
+                if len(held) > 1 and sum(len(h[0]) for h in held) > HELD:
+                    held[:] = [merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield from out()
+        if held:
+            yield from out()
 
-    return documents.select("text", "held_out").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = documents.select("text", "held_out").mapInArrow(run, "word string, key long, c long")
+    return counted.groupBy("word", "key").agg(F.sum("c").alias("c"))
 
 
-def _ngram_counts(vocabulary: DataFrame, ends: int) -> DataFrame:
-    """(key, c, shorter) of all n-grams, from all words and their counts."""
+def _low(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of order LOW: at most ALPHABET^(LOW + 1) rows."""
+    key = F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
+    table = counted.filter("c > 0").groupBy(key.alias("key")).agg(F.sum("c").alias("c")).sort("key").toArrow()
+    return table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column("c").to_numpy()
+
+
+def _priced(counted: DataFrame, low: tuple[np.ndarray, np.ndarray], group: int) -> DataFrame:
+    """(key, c, score) of all runs (key, c): score is code()."""
+    spark = counted.sparkSession
+    model = spark.sparkContext.broadcast(low)
+    tail = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
+    parts = max(partitions_for(spark), 1 + counted.count() // (2 * group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        below = levels(*model.value, LOW)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        goal, size, mask = group, 0, np.uint64((1 << 8 * (LOW + 1)) - 1)
 
-        def merge() -> None:
-            keys, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
-            held[:] = [(keys, counts, np.concatenate([h[2] for h in held])[first])]
+        def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            known = counts > 0
+            score = code(keys, levels(keys[known], counts[known], ORDER, below))
+            for at in range(0, len(keys), 50_000):
+                yield pa.record_batch([pa.array(keys[at : at + 50_000].view(np.int64)), pa.array(counts[at : at + 50_000]), pa.array(score[at : at + 50_000])], ["key", "c", "score"])
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                merge()
-                keys, counts, shorter = held.pop()
-                for at in range(0, len(keys), 50_000):
-                    yield pa.record_batch([pa.array(x[at : at + 50_000].view(np.int64)) for x in (keys, counts, shorter)], ["key", "c", "shorter"])
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
         for batch in batches:
-            held.append(ngrams(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy()))
-            if sum(len(h[0]) for h in held) > 1_500_000:
-                merge()
-                if len(held[0][0]) > 750_000:
-                    yield from out()
-        yield from out()
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= goal:
+                keys, counts = joined()
+                tails = (keys >> np.uint64(8)) & mask
+                cut = int(np.searchsorted(tails, tails[-1]))  # the last tail may go on in the next batch
+                if cut:
+                    yield from out(keys[:cut], counts[:cut])
+                held[:], size = [(keys[cut:], counts[cut:])], len(keys) - cut
+                goal = max(group, 2 * size)
+        if size:
+            yield from out(*joined())
 
-    counted = vocabulary.select("word", "c").mapInArrow(run, "key long, c long, shorter long")
-    if ends:
-        counted = counted.union(vocabulary.sparkSession.createDataFrame(end_ngrams(ends), "key long, c long, shorter long"))
-    return counted.groupBy("key").agg(F.sum("c").alias("c"), F.min("shorter").alias("shorter"))
+    return counted.select("key", "c").repartition(parts, tail).sortWithinPartitions(tail).mapInArrow(run, "key long, c long, score double")
 
 
 def _largest(counted: DataFrame, most: int) -> DataFrame:
     """Rows with c of at least a power of two, the least one that leaves at most so many rows."""
-    by_size = {r["size"]: r["n"] for r in counted.groupBy(F.floor(F.log2("c")).cast("int").alias("size")).agg(F.count("*").alias("n")).collect()}  # 64 rows at the most
+    by_size = {r["size"]: r["n"] for r in counted.filter("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("size")).agg(F.count("*").alias("n")).collect()}  # 64 rows at the most
     kept, power = 0, max(by_size, default=0) + 1
     while power > 0 and kept + by_size.get(power - 1, 0) <= most:
         power -= 1
@@ -299,206 +316,94 @@ def _largest(counted: DataFrame, most: int) -> DataFrame:
     return counted.filter(F.col("c") >= (1 << power))
 
 
-def _context():
-    """As context_of(); the top byte is below 128, so signed longs will do."""
-    return F.shiftright("key", 8).bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.col("key").bitwiseAND(F.lit(0x7F << 56)))
-
-
-def _states(counted: DataFrame) -> dict[tuple[int, int, int], float]:
-    """escapes() of all n-grams (key, c, shorter); some hundred states come to the driver."""
-    contexts = counted.withColumn("context", _context()).groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("d"), F.count_if(F.col("c") == 1).alias("single"))
-    level = F.shiftright("context", 56)
-    depth = F.when(level == WHOLE, WHOLE + F.least(F.shiftright("context", 40).bitwiseAND(F.lit(0xFF)), F.lit(24))).otherwise(level)
-    log2 = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1)))).cast("long")
-    rows = contexts.groupBy(depth.alias("depth"), log2(F.col("total") - 1).alias("less_size"), F.least("d", F.lit(MANY)).alias("distinct"), F.least(F.col("d") - 1, F.lit(MANY)).alias("less")).agg(F.sum("total").alias("total"), F.sum("single").alias("single")).toPandas()
-    return escapes(*(rows[c].to_numpy(np.int64) for c in ("depth", "less_size", "distinct", "less", "total", "single")))
-
-
-def trie_of(keys: np.ndarray, counts: np.ndarray, shorter: np.ndarray, states: dict[tuple[int, int, int], float]) -> Trie:
-    """The model of n-grams among which every context is complete."""
-    _, at = np.unique(context_of(keys), return_inverse=True)
-    return Trie(keys, counts, shorter, np.bincount(at, counts)[at], np.bincount(at)[at], states)
-
-
-# ---- code lengths of words
+#: Ids of words have the highest bit, those of runs haven't.
+_WORD_ID = -(1 << 63)
 
 
-def known_scores(words: list[bytes], counts: np.ndarray, short: tuple[np.ndarray, np.ndarray, np.ndarray], states: dict[tuple[int, int, int], float]) -> np.ndarray:
-    """log10 of the probability of each training word with the space after it, as Trie.words() gives it.
-
-    Every symbol follows the whole word so far, so the counts of the beginnings
-    cancel out but for the first and last. words: all training words with these
-    first FIRST bytes; short: the contexts, totals and distinct symbols of shorter beginnings.
-    """
-    if not words:
-        return np.zeros(0)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    text, at = _joined(words), np.arange(starts[-1])
-    begin = np.repeat(starts[:-1], sizes)
-    context = _whole(text, begin, at) | np.uint64(WHOLE << 56)
-    found, slot = np.unique(context, return_inverse=True)
-    total = np.bincount(slot, np.repeat(counts, sizes), len(found))
-    distinct = np.bincount(np.searchsorted(found, context_of(np.unique(_key(context, text[1:].astype(np.uint64))))), minlength=len(found))
-    few = np.flatnonzero((found >> np.uint64(40)) & np.uint64(0xFF) <= FIRST)  # beginnings of less than FIRST bytes, and a space
-    place = np.searchsorted(short[0], found[few])
-    total[few], distinct[few] = short[1][place], short[2][place]
-    stay = np.log10(1 - _novel(states, _depth(found), total, distinct))
-    return np.log10(counts / total[slot[starts[:-1]]]) + sums(stay[slot], starts)
-
-
-def _score_known(vocabulary: DataFrame, short: tuple[np.ndarray, np.ndarray, np.ndarray], states: dict[tuple[int, int, int], float]) -> DataFrame:
-    """(word, c, score) of all training words (word, c)."""
-    model = vocabulary.sparkSession.sparkContext.broadcast((short, states))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list[bytes], np.ndarray]] = []
-        goal, size = 20_000, 0
-
-        def joined() -> tuple[list[bytes], np.ndarray]:
-            return [w for h in held for w in h[0]], np.concatenate([h[1] for h in held])
+def _word_id(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42) | 1 << 63  # as Spark's xxhash64 of a string
 
-        def out(words: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            score = known_scores(words, counts, *model.value)
-            yield pa.record_batch([pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts), pa.array(score)], ["word", "c", "score"])
 
-        for batch in batches:
-            held.append((batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy()))
-            size += batch.num_rows
-            if size >= goal:
-                words, counts = joined()
-                cut = len(words)
-                while cut and words[cut - 1][:FIRST] == words[-1][:FIRST]:  # the last of them may go on in the next batch
-                    cut -= 1
-                if cut:
-                    yield from out(words[:cut], counts[:cut])
-                held[:], size = [(words[cut:], counts[cut:])], len(words) - cut
-                goal = max(20_000, 2 * size)
-        if held:
-            yield from out(*joined())
-
-    first = F.substring(F.col("word").cast("binary"), 1, FIRST)
-    return vocabulary.select("word", "c").repartition(first).sortWithinPartitions(first, "word").mapInArrow(run, "word string, c long, score double")
-
-
-def _score_unseen(words: DataFrame, counted: DataFrame, base: tuple[np.ndarray, np.ndarray, np.ndarray], states: dict[tuple[int, int, int], float], group: int) -> DataFrame:
-    """(word, score) of words that no training text has, word being their hash: their symbols meet the n-grams of contexts that end in the same two bytes."""
-    spark = words.sparkSession
-    model = spark.sparkContext.broadcast((base, states))
-    groups = max(partitions_for(spark), 1 + counted.count() // group)
-    bucket = lambda tail: F.pmod(F.xxhash64(tail), F.lit(groups)).alias("bucket")
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 0):
-                spelt = part.column(0).cast(pa.binary()).to_pylist()
-                symbol, contexts, depth, starts = _symbols(spelt)
-                hashes = np.fromiter(map(_word_hash, spelt), np.uint64, len(spelt))
-                columns = (np.repeat(hashes, np.diff(starts)), symbol, contexts[ORDER] & np.uint64((1 << 48) - 1), contexts[WHOLE])
-                for lo in range(0, len(symbol), 50_000):
-                    yield pa.record_batch([*(pa.array(x[lo : lo + 50_000].view(np.int64)) for x in columns), pa.array(depth[lo : lo + 50_000])], ["word", "symbol", "suffix", "whole", "depth"])
-
-    def code(ngrams: pa.Table, asked: pa.Table) -> pa.Table:
-        base, states = model.value
-        column = lambda t, c: t.column(c).to_numpy().astype(np.int64, copy=False)
-        if not asked.num_rows:
-            return pa.table({"word": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        own = column(ngrams, "key").view(np.uint64), column(ngrams, "c"), column(ngrams, "shorter").view(np.uint64)
-        trie = trie_of(*(np.concatenate(x) for x in zip(base, own)), states)
-        suffix = column(asked, "suffix").view(np.uint64)
-        contexts = np.stack([*((suffix & np.uint64((1 << 8 * order) - 1)) | np.uint64(order << 56) for order in range(ORDER + 1)), column(asked, "whole").view(np.uint64)])
-        value = trie.log10(column(asked, "symbol").view(np.uint64), contexts, column(asked, "depth"))
-        word, at = np.unique(column(asked, "word"), return_inverse=True)
-        return pa.table({"word": word, "score": np.bincount(at, value, len(word))})
-
-    # symbols after the space alone have only contexts that all cogroups have
-    asked = words.select("word").mapInArrow(requests, "word long, symbol long, suffix long, whole long, depth long")
-    asked = asked.withColumn("bucket", bucket(F.when(F.col("depth") < 2, F.col("word")).otherwise(F.col("suffix").bitwiseAND(F.lit(0xFFFF)))))
-    known = counted.filter(~_in_base()).withColumn("bucket", bucket(_suffix().bitwiseAND(F.lit(0xFFFF))))
-    coded = known.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(code, "word long, score double")
-    return coded.groupBy("word").agg(F.sum("score").alias("score"))
-
-
-def _suffix():
-    """The longest suffix context of an n-gram: its own, or the one below the whole word so far."""
-    return F.when(F.shiftright("key", 56) == WHOLE, F.col("shorter")).otherwise(_context())
-
-
-def _in_base():
-    """Whether that has at most one byte."""
-    return F.shiftright(_suffix(), 56) < 2
-
-
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42)  # as Spark's xxhash64 of a string
-
-
-def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, head: int = HEAD, group: int = GROUP, scope: str = "session") -> DataFrame:
+def score(documents: DataFrame, folds: int = 5, held_out_fold: int = 1, head_words: int = HEAD_WORDS, head_runs: int = HEAD_RUNS, group: int = GROUP, scope: str = "session") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     small_batches(documents.sparkSession)
     spark = documents.sparkSession
     fold = crc32_mod("doc_id", folds)
     source = documents.select("doc_id", "text", F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"))
-    everything = saved(_word_counts(source), scope)
-    vocabulary = everything.filter("c > 0")
+    everything = saved(_gathered(source), scope)
+    vocabulary = everything.filter("word IS NOT NULL AND c > 0").select("word", "c")
     ends = source.filter("not held_out").count()
     facts = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).head()
     train_tokens, distinct = (facts["n"] or 0) + ends, facts["v"] + (ends > 0)
     log_all = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
+    end_known, end_base = int(ends > 0), float(np.log10(ends + 0.5))
+
+    counted = everything.filter("key IS NOT NULL").select("key", "c")
+    priced = saved(_priced(counted, _low(counted), group), scope)
 
-    counted = saved(_ngram_counts(vocabulary, ends), scope)
-    states = _states(counted)
     column = lambda t, c: t.column(c).to_numpy()
-    table = counted.filter(_in_base()).toArrow()
-    base = column(table, "key").view(np.uint64), column(table, "c"), column(table, "shorter").view(np.uint64)
-    begins = (F.shiftright("key", 56) == WHOLE) & (F.shiftright("key", 48).bitwiseAND(F.lit(0xFF)) <= FIRST)
-    table = counted.filter(begins).groupBy(_context().alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("d")).sort("context").toArrow()
-    short = column(table, "context").view(np.uint64), column(table, "total"), column(table, "d")
-    known_words = saved(_score_known(vocabulary, short, states), scope)
-    unseen = _score_unseen(everything.filter("c = 0"), counted, base, states, group)
-
-    common = _largest(known_words, head).toArrow()
-    head_words = common.column("word").combine_chunks() if common.num_rows else pa.array([], pa.string())
-    head_counts = common.column("c").to_numpy()
-    model = spark.sparkContext.broadcast((head_words, np.log10(head_counts + 0.5), common.column("score").to_numpy()))
-    end_known, end_base, end_score = int(ends > 0), float(np.log10(ends + 0.5)), trie_of(*base, states).end()
+    table = _largest(priced, head_runs).toArrow()
+    frequent = Head(column(table, "key").astype(np.int64).view(np.uint64), column(table, "score").astype(float), column(table, "c"))
+    least_run = int(column(table, "c").min()) if table.num_rows else None
+    table = _largest(vocabulary, head_words).toArrow()
+    common_words = table.column("word").combine_chunks().cast(pa.large_string()) if table.num_rows else pa.array([], pa.large_string())
+    common_counts = column(table, "c")
+    least_word = int(common_counts.min()) if table.num_rows else None
+    model = spark.sparkContext.broadcast((common_words, np.log10(common_counts + 0.5), frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_words, head_logs, head_scores = model.value
+        common_words, common_logs, frequent = model.value
         for batch in batches:
-            for part in slices(batch, 3, 4 << 20):
+            for part in slices(batch, 3, 2 << 20):
                 words = Words(part.column(3), lower=True)
                 n = len(words.distinct)
-                at = np.asarray(pc.fill_null(pc.index_in(words.distinct, value_set=head_words.cast(pa.large_string())), -1)).astype(np.int64)
+                at = np.asarray(pc.fill_null(pc.index_in(words.distinct, value_set=common_words), -1)).astype(np.int64)
                 rare = np.flatnonzero(at < 0)
                 rare_words = words.distinct.take(pa.array(rare)).cast(pa.large_binary()).to_pylist()
-                value, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+                base, known = np.zeros(n), np.zeros(n, np.int64)
                 common = at >= 0
-                value[common], base[common], known[common] = head_scores[at[common]], head_logs[at[common]], 1
-                hashes = np.zeros(n, np.int64)
-                hashes[rare] = np.fromiter(map(_word_hash, rare_words), np.uint64, len(rare)).view(np.int64)
+                base[common], known[common] = common_logs[at[common]], 1
+                ids = np.zeros(n, np.uint64)
+                ids[rare] = np.fromiter(map(_word_id, rare_words), np.uint64, len(rare))
                 # of the rare words, each document's distinct ones and how often
                 docs, codes = words.doc_of_word(), words.codes
                 mask = ~common[codes] if len(codes) else np.zeros(0, bool)
                 pairs, times = np.unique(docs[mask] * max(n, 1) + codes[mask], return_counts=True)
-                of = pairs // max(n, 1)
-                offsets = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
-                tails = pa.StructArray.from_arrays([pa.array(hashes[pairs % max(n, 1)]), pa.array(times)], ["word", "times"])
+                of, rare_ids = [pairs // max(n, 1)], [ids[pairs % max(n, 1)]]
+                rare_times = [times]
+                # and of the rare runs
+                text, starts = symbols(part.column(3))
+                value = np.zeros(part.num_rows)
+                for lo in range(0, len(text), PIECE):
+                    hi = min(len(text), lo + PIECE)
+                    keys = runs(text, starts, lo, hi)
+                    found, missing = frequent.get(keys)
+                    inside = np.clip(starts, lo, hi) - lo
+                    value += sums(found, inside)
+                    doc = np.searchsorted(inside, missing, "right") - 1
+                    pairs, times = np.unique((doc.astype(np.uint64) << np.uint64(48)) | keys[missing], return_counts=True)
+                    of.append((pairs >> np.uint64(48)).astype(np.int64))
+                    rare_ids.append(pairs & np.uint64((1 << 48) - 1))
+                    rare_times.append(times)
+                of, rare_ids, rare_times = np.concatenate(of), np.concatenate(rare_ids), np.concatenate(rare_times)
+                order = np.argsort(of, kind="stable")
+                offsets = np.searchsorted(of[order], np.arange(part.num_rows + 1)).astype(np.int32)
+                tails = pa.StructArray.from_arrays([pa.array(rare_ids[order].view(np.int64)), pa.array(rare_times[order])], ["id", "times"])
                 yield pa.record_batch(
-                    [part.column(0).cast(pa.int64()), part.column(1), part.column(2), pa.array(words.counts + 1), pa.array(sums(known[codes], words.starts) + end_known), pa.array(sums(base[codes], words.starts) + end_base), pa.array(sums(value[codes], words.starts) + end_score), pa.ListArray.from_arrays(pa.array(offsets), tails)],
+                    [part.column(0).cast(pa.int64()), part.column(1), part.column(2), pa.array(words.counts + 1), pa.array(sums(known[codes], words.starts) + end_known), pa.array(sums(base[codes], words.starts) + end_base), pa.array(value), pa.ListArray.from_arrays(pa.array(offsets), tails)],
                     ["doc_id", "row", "held_out", "n_tokens", "known", "base", "score", "rare"],
                 )
 
-    schema = "doc_id long, row long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: long, times: long>>"
+    schema = "doc_id long, row long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<id: long, times: long>>"
     scored = saved(source.select("doc_id", F.monotonically_increasing_id().alias("row"), "held_out", F.col("text").alias("whole_text")).mapInArrow(run, schema), scope)
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
-    # rare words are below the head's least count, so the frequent ones need not take part
-    least = int(head_counts.min()) if len(head_counts) else None
-    counts = known_words if least is None else known_words.filter(F.col("c") < least)
-    counts = counts.select(F.xxhash64("word").alias("word"), "c", "score").union(unseen.select("word", F.lit(0).cast("long"), "score"))
-    looked_up = rare.join(counts, "word")
-    rare_sums = {"rare_known": F.when(F.col("c") > 0, F.col("times")).otherwise(0), "rare_base": F.col("times") * F.log10(F.col("c") + 0.5), "rare_score": F.col("times") * F.col("score")}
-    per_row = looked_up.groupBy("row").agg(*[F.sum(x).alias(name) for name, x in rare_sums.items()])
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.id").alias("id"), F.col("r.times").alias("times"))
+    # what is looked up is below the least count of what was sent, so frequent words and runs need not take part
+    below = lambda least: F.lit(True) if least is None else F.col("c") < least
+    all_words = everything.filter("word IS NOT NULL").filter(below(least_word))
+    words = all_words.select(F.xxhash64("word").bitwiseOR(F.lit(_WORD_ID)).alias("id"), (F.col("c") > 0).cast("long").alias("known"), F.log10(F.col("c") + 0.5).alias("base"), F.lit(0.0).alias("score"))
+    other = priced.filter(below(least_run)).select(F.col("key").alias("id"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
+    looked_up = rare.join(words.union(other), "id")
+    per_row = looked_up.groupBy("row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"rare_{c}") for c in ("known", "base", "score")])
     joined = scored.drop("rare").join(per_row, "row", "left")
     return joined.select(
         "doc_id",

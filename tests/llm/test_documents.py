@@ -187,7 +187,7 @@ def test_planes_round_trip():
 
 @TABLES
 def test_unigram_base(tables, name):
-    got = ppm.score(tables[name], head=50).collect()
+    got = ppm.score(tables[name], head_words=50, head_runs=500).collect()
     source = rows(tables[name])
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     count = collections.Counter(w for i, t in source if not held(i) for w in [*words(ascii_lower(t)), None])
@@ -201,55 +201,88 @@ def test_unigram_base(tables, name):
     assert all(r.score < 0 for r in got)
 
 
-def _trie(counts, most=None):
-    keys, c, shorter = ppm.ngrams(list(counts), np.array(list(counts.values()), np.int64))
-    ends = ppm.end_ngrams(3)
-    keys = np.concatenate([keys, np.array([k for k, _, _ in ends], np.int64).view(np.uint64)])
-    c, shorter = np.concatenate([c, [n for _, n, _ in ends]]), np.concatenate([shorter, np.array([s for _, _, s in ends], np.int64).view(np.uint64)])
-    contexts, at = np.unique(ppm.context_of(keys), return_inverse=True)
-    total, distinct, single = np.bincount(at, c).astype(np.int64), np.bincount(at), np.bincount(at, c == 1)
-    states = ppm.escapes(ppm._depth(contexts), ppm._size(total - 1), np.minimum(distinct, 4), np.minimum(distinct - 1, 4), total, single)
-    kept = np.argsort(-c, kind="stable")[:most]
-    return ppm.Trie(keys[kept], c[kept], shorter[kept], total[at][kept], distinct[at][kept], states)
-
-
-@pytest.mark.parametrize("most", [None, 60])
-def test_probabilities_sum_to_one(most):
-    trie = _trie({b"the": 9, b"then": 3, b"thing": 2, b"other": 1, b"\xc3\xa9t\xc3\xa9": 1}, most)
-    alphabet = np.array([b for b in range(256) if b not in (9, 11, 12, 13)], np.uint64)
-    for word in (b"the", b"thx", b"zebra", b"\xc3\xa9"):
-        symbol, contexts, depth, _ = ppm._symbols([word])
-        for at in range(len(symbol)):
-            p = 10 ** trie.log10(alphabet, np.repeat(contexts[:, at : at + 1], len(alphabet), 1), np.full(len(alphabet), depth[at]))
-            assert p.sum() == pytest.approx(1) if most is None else 0 < p.sum() <= 1 + 1e-9
-
-
-def test_known_words_are_likelier_and_no_model_is_even():
-    trie = _trie({b"the": 9, b"then": 3})
-    assert trie.words([b"the"])[0] > trie.words([b"xqz"])[0]
-    nothing = ppm.Trie(*(np.empty(0, np.uint64) for _ in range(5)), {})
-    assert nothing.words([b"ab"])[0] == pytest.approx(-3 * math.log10(ppm.ALPHABET))
-
-
-def test_scores_use_all_ngrams(spark):
-    rng = np.random.default_rng(6)
-    letters = rng.integers(97, 123, 2_000_000).astype(np.uint8).tobytes().decode()
-    cuts = np.cumsum(rng.integers(3, 13, 240_000))
-    spelt = [letters[i:j] for i, j in zip(cuts, cuts[1:])]  # over two million n-grams, nearly all of them once
-    texts = [(i, " ".join(spelt[i::60]) + " abcab é" * (i % 7), zlib.crc32(str(i).encode()) % 5 == 1) for i in range(60)]
-    count = collections.Counter(w.encode() for _, t, held in texts if not held for w in words(t))
-    ends = sum(not held for *_, held in texts)
-    keys, c, shorter = ppm.ngrams(list(count), np.array(list(count.values()), np.int64))
-    more = [np.array(x, np.int64) for x in zip(*ppm.end_ngrams(ends))]
-    keys, c, shorter = np.concatenate([keys, more[0].view(np.uint64)]), np.concatenate([c, more[1]]), np.concatenate([shorter, more[2].view(np.uint64)])
-    assert len(keys) > 1_500_000
-    contexts, at = np.unique(ppm.context_of(keys), return_inverse=True)
-    total, distinct, single = np.bincount(at, c).astype(np.int64), np.bincount(at), np.bincount(at, c == 1)
-    states = ppm.escapes(ppm._depth(contexts), ppm._size(total - 1), np.minimum(distinct, 4), np.minimum(distinct - 1, 4), total, single)
-    whole = ppm.Trie(keys, c, shorter, total[at], distinct[at], states)
-    expected = {i: whole.words([w.encode() for w in words(t)]).sum() + whole.end() for i, t, _ in texts}
-    got = ppm.score(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), head=5000).collect()
-    assert {r.doc_id: r.score for r in got} == pytest.approx(expected)
+def stream(text):
+    """The symbols of a text, behind as many ends as a context has bytes."""
+    own = b"".join(w.encode() + b" " for w in words(ascii_lower(text)))
+    return b"\xff" * ppm.ORDER + own + b"\xff"
+
+
+def brute_ppm(training, symbols):
+    """log10 of the probability of the last of these symbols after the others, by PPM with method D and symbol exclusion over dictionaries."""
+    follows = collections.defaultdict(collections.Counter)
+    for s in training:
+        for i in range(ppm.ORDER, len(s)):
+            for order in range(ppm.ORDER + 1):
+                follows[s[i - order : i]][s[i]] += 1
+
+    def one(before, symbol):
+        value, excluded = 0.0, set()
+        for order in range(ppm.ORDER, -1, -1):
+            seen = follows.get(before[len(before) - order :])
+            if seen is None:
+                continue
+            left = {x: n for x, n in seen.items() if x not in excluded}
+            total = sum(left.values())
+            if symbol in left:
+                return value + math.log10((left[symbol] - 0.5) / total)
+            if left:
+                value += math.log10(0.5 * len(left) / total)
+            excluded |= set(seen)
+        return value - math.log10(ppm.ALPHABET - len(excluded))
+
+    return [one(before, symbol) for before, symbol in symbols]
+
+
+@pytest.mark.parametrize("head", [0, 40, 1 << 20])
+def test_ppm_is_brute_force(spark, docs, odd, head):
+    short = docs.filter("length(text) < 900").orderBy("doc_id").limit(25).select("doc_id", "text")
+    texts = [(r.doc_id, r.text) for r in short.collect()] + [(i, t) for i, t, *_ in ODD if t != LONG]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    training = [stream(t) for i, t in texts if not held(i)]
+    expected = []
+    for i, t in texts:
+        s = stream(t)
+        expected.append((str(i), round(sum(brute_ppm(training, [(s[:at], s[at]) for at in range(ppm.ORDER, len(s))])), 6)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = ppm.score(frame, head_words=head, head_runs=head, group=50).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted(expected)
+
+
+def test_probabilities_sum_to_one():
+    text, starts = ppm.symbols(pa.array(["the other thing then", "\u00e9t\u00e9 the", None]))
+    model = ppm.levels(*ppm.tally(ppm.runs(text, starts, 0, len(text))), ppm.ORDER)
+    alphabet = np.array([b for b in range(256) if not 0x41 <= b <= 0x5A and b not in (9, 10, 11, 12, 13)], np.uint64)
+    assert len(alphabet) == ppm.ALPHABET
+    for before in (b" the ", b"other", b"xx th", b"zzzzz", b"\xff" * 5):
+        context = np.uint64(sum(c << 8 * (i + 1) for i, c in enumerate(reversed(before))))
+        assert (10 ** ppm.code(alphabet | context, model)).sum() == pytest.approx(1)
+
+
+def test_order_of_words_counts_and_pieces_join(docs, spark, monkeypatch):
+    texts = [r.text for r in docs.filter("length(text) > 1000").orderBy("doc_id").limit(20).collect()]
+    frame = spark.createDataFrame(list(enumerate(texts + [" ".join(sorted(t.split())) for t in texts])), "doc_id long, text string")
+    score = {r.doc_id: r.score for r in ppm.score(frame).collect()}
+    held = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 1]
+    assert held and all(abs(score[i] - score[i + 20]) > 1 for i in held)
+    text, starts = ppm.symbols(pa.array(texts))
+    whole = ppm.runs(text, starts, 0, len(text))
+    assert np.concatenate([ppm.runs(text, starts, lo, min(len(text), lo + 97)) for lo in range(0, len(text), 97)]).tolist() == whole.tolist()
+    tallies = [ppm.tally(np.repeat(whole[:50], 70_000)), ppm.tally(whole), ppm.tally(whole[::2])]
+    keys, counts = np.unique(np.concatenate([np.repeat(whole[:50], 70_000), whole, whole[::2]]), return_counts=True)
+    assert [x.tolist() for x in ppm.merged(tallies)] == [keys.tolist(), counts.tolist()]
+
+
+def test_without_training_texts_all_symbols_are_alike(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    assert ppm.score(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).head().score == pytest.approx(-4 * math.log10(ppm.ALPHABET))
+
+
+def test_held_out_score_is_above_the_base(spark):
+    d = "/root/testdata/sf0.1"
+    if not os.path.exists(d):
+        pytest.skip("no larger tables")
+    r = queries.QUERIES["op3_ppm_scores"](spark, d).filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
+    assert r[0] > r[1]
 
 
 # ---- 5: toxicity
