@@ -102,12 +102,16 @@ def test_url_table(spark):
 # ---- 10: pages
 
 
+def wrapper_of(*pages):
+    own = None
+    for page in pages:
+        one = wrappers.infer(wrappers.parse(page))
+        own = one if own is None else wrappers.unite(own, one)
+    return wrappers.prepare(wrappers.load(wrappers.dump(own)))
+
+
 def text_of(page, *others):
-    own = wrappers.infer(wrappers.parse(page))
-    for other in others:
-        own = wrappers.unite(own, wrappers.infer(wrappers.parse(other)))
-    wrappers.choose(own)
-    return wrappers.cut(wrappers.parse(page), own)
+    return wrappers.cut(wrappers.parse(page), wrapper_of(page, *others))
 
 
 WORDS = "Some words of an article that go on for a while and say things, "
@@ -129,9 +133,68 @@ def test_region_without_article_elements():
 
 def test_alignment_makes_optional_and_repeated_groups():
     a = wrappers.infer(wrappers.parse("<div><h2>x</h2><p>y</p><h2>x</h2><p>y</p></div>"))
-    b = wrappers.infer(wrappers.parse("<div><h2>x</h2><p>y</p><hr></div>"))
-    assert wrappers.expression(wrappers.unite(a, b)) == "<><div>(<h2>#</> <p>#</>)+ <hr></>?</></>"
+    b = wrappers.infer(wrappers.parse("<div><h2>x</h2><p>y</p><ul><li>z</ul></div>"))
+    assert wrappers.expression(wrappers.unite(a, b)) == "<><div>(<h2>#</><p>#</>)+<ul><li>#</></>?</></>"
     assert wrappers.expression(wrappers.unite(b, a)) == wrappers.expression(wrappers.unite(a, b))
+    six = "".join(f"<h{i}>x</h{i}>" for i in range(1, 7))
+    assert wrappers.expression(wrappers.infer(wrappers.parse(six * 3))).endswith("<h6>#</>)+</>")
+
+
+def numbered(n, at, extra="", length=9):
+    """A page without article elements or names; its advert is sometimes longer than its article."""
+    words = " ".join(f"w{n}x{i}" for i in range(length))
+    return f"<body><div>Our site, the best of all sites there are</div><div><h1>Head {n}</h1><p>Always the same words stand here.</p><p>{words}</p>{extra}</div><div>{'Buy this now ' * at} {n}</div></body>"
+
+
+def test_template_texts_and_short_articles_need_the_wrapper():
+    pages = [numbered(i, 1 if i else 40, length=60 if i else 9) for i in range(12)]
+    texts = [f"Head {i}\n" + " ".join(f"w{i}x{j}" for j in range(60 if i else 9)) for i in range(12)]
+    own = wrapper_of(*pages)
+    assert [wrappers.cut(wrappers.parse(p), own) for p in pages] == texts
+    nothing = wrapper_of("")
+    assert not any(wrappers.cut(wrappers.parse(p), nothing) == t for p, t in zip(pages, texts))
+    # copies of one page have no template that could be told from its text
+    copy = pages[3]
+    assert "Always the same words" in wrappers.cut(wrappers.parse(copy), wrapper_of(*[copy] * 9))
+
+
+def test_pages_of_two_templates_on_a_host():
+    long = [f"<body><div class=a><p>{WORDS} {i}</p><p>{WORDS * 9}{i}</p></div><div class=tail>x{i}</div></body>" for i in range(20)]
+    short = [f"<body><section><div class=b><p>minor {i}</p><p>{WORDS}</p></div></section></body>" for i in range(2)]
+    own = wrapper_of(*long, *short)
+    assert wrappers.cut(wrappers.parse(short[1]), own) == f"minor 1\n{WORDS.strip()}"
+    assert wrappers.cut(wrappers.parse(long[1]), own).startswith(WORDS.strip())
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p class=it's>Hello <b>brave</b> world</p><p>don't stop</p><p>end</p>", "Hello brave world\ndon't stop\nend"),
+        ('<p title="unclosed>Hello</p><p class="x">there</p>', "Hello\nthere"),
+        ("<p title='a > b' data-x=\"c > d\">Hello</p>", "Hello"),
+        ('<div class="alert-free"><p>kept</p></div><div class="text-social-history"><p>and this</p></div><div class="ad-banner"><p>not</p></div><div class="siteFooter">not</div>', "kept\nand this"),
+        ("<div><b>bold<p>in a block</b> and on</p>x</div>", "bold\nin a block and on\nx"),
+        ("<p>one<br>two<hr>three</p>", "one\ntwo\nthree"),
+        ("<form id=all><div><h1>T</h1><p>The whole page is in a form.</p></div></form>", "T\nThe whole page is in a form."),
+        ("a < b &amp;&lt;&nbsp; c </b></zz> <", "a < b &< c <"),
+        ("<li>a<li>b</p></div></x>c", "a\nb\nc"),
+    ],
+)
+def test_malformed_pages(page, text):
+    assert text_of(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<b>" * 100_000 + "deep", "<ul><li>" * 50_000 + "deep", "<p><i>" * 50_000 + "deep", "<b></div>" * 50_000 + "deep", "<div><b></i>" * 40_000 + "deep"])
+def test_depth_has_no_limit(page):
+    assert text_of(page) == "deep"
+
+
+def test_large_wrappers_are_pruned_and_long_sequences_align():
+    odd = "<body>" + "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>t{i}</p></div>" for i in range(3000)) + "</body>"
+    own = wrappers.infer(wrappers.parse(odd))
+    both = wrappers.unite(own, wrappers.infer(wrappers.parse("<body><p>a</p></body>")))
+    assert len(wrappers.preorder(wrappers.pruned(wrappers.unite(both, own)))) <= wrappers.ITEMS
+    assert text_of(odd, "<body><p>a</p></body>").count("\n") == 2999
 
 
 def test_odd_pages(spark):
@@ -153,3 +216,13 @@ def test_pages_of_the_tables(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner)]
         assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_pages_without_names(spark):
+    """The articles are found where neither an article element nor a class names them."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    for old, new in (("<article>", "<div>"), ("</article>", "</div>"), (' class="ad"', "")):
+        pages = pages.withColumn("html", F.replace("html", F.lit(old), F.lit(new)))
+    plain = {r.page_id: r.text for r in wrappers.extract(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    bare = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert sum(bare[i] == t for i, t in plain.items()) >= 0.95 * len(plain)
