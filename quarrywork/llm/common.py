@@ -27,12 +27,15 @@ _SAVED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one will do for local[...] only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarrywork-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -82,6 +85,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with columns named c0, c1, ..., so that none clashes with a name used inside an operator; toDF() gives the names back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 class Words:
     """The words of a batch of texts: codes into a list of distinct words, and where each text's words start."""
 

@@ -9,17 +9,21 @@ is left. It needs one row per source, so the sort is over a tiny table.
 
 A source's target is then taken from its documents: all of them whole as often
 as fits, and a last, fractional repetition. For that, the source's words lie
-on a line in the order of a seeded hash of the document's id. Documents before
-the cut are repeated once more, the one at the cut in part, those behind not.
-The cut is found in two levels: sums over buckets of the hash tell which bucket
-holds it, and only that bucket is put in order, so that no task holds a whole
-source. What is joined to the documents is one row per source.
+on a line in the order of a seeded hash of the document's id, then of size, then
+of the row. Documents before the cut are repeated once more, the one at the cut
+in part, those behind not. The cut is found in levels: sums over buckets of the
+hash tell which bucket holds it, sums over the distinct (id, size) of that
+bucket which of these does, and counts over buckets of their rows which row; so
+no task holds a whole source, nor all rows of one id. What is joined to the
+documents is one row per source; more than MAX_SOURCES sources are refused, as
+the level of the water is worked out in one task.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is
 a source of its own and sorts last; sources without words have target 0;
-rows that share an id share a place on the line, ordered by size, and where the
-cut falls on rows equal in both, each gives that part; an empty table gives an
-empty table. Other columns of the input are ignored by mix() and kept by sample().
+rows that share an id share a place on the line, ordered by size, and which of
+rows equal in both are taken may differ, not how many or how much; an empty
+table gives an empty table. Other columns of the input are ignored by mix() and
+kept by sample(), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +31,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import plain_names, saved
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
+MAX_SOURCES = 5_000_000
+#: Buckets into which rows of one id and size are counted.
+LOTS = 4096
 
 
 def word_count(text):
@@ -64,40 +71,55 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     return levels.select("origin", "source_size", target.alias("target"))
 
 
-def _sized(documents: DataFrame, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    # sources in code point order, null last, as one string that is never null
-    origin = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return documents.select(*(c for c in documents.columns if c in ("doc_id", *keep)), origin.alias("origin"), word_count(F.col("text")).alias("size"), place.alias("place"))
+def _line(doc_id, source, text, seed: str):
+    """Expressions of a row: its source as one string that is never null (code point order, null last), size, and place on the line."""
+    origin = F.when(source.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), source))
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    return origin.alias("origin"), word_count(text).alias("size"), place.alias("place"), F.monotonically_increasing_id().alias("row")
+
+
+def _sized(documents: DataFrame, seed: str) -> DataFrame:
+    return documents.select("doc_id", *_line(F.col("doc_id"), F.col("source"), F.col("text"), seed))
+
+
+def _at():
+    """Where a row lies on its source's line."""
+    return F.struct("place", "size", F.pmod(F.xxhash64("row"), F.lit(LOTS)).alias("lot"), "row")
 
 
 def decisions(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, digits: int = 3) -> DataFrame:
-    """One row per source: origin, source_size, target, repeats (whole ones), and where the fractional one is cut: cut_at (place, size) and part.
+    """One row per source: origin, source_size, target, repeats (whole ones), and where the fractional one is cut: cut_at (as _at()) and part.
 
     digits: hexadecimal digits of the hash that name a bucket. Only the one
     bucket of each source that holds its cut is put in order.
     """
     bucket = F.substring("place", 1, digits)
     per_bucket = sized.groupBy("origin", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
-    per_source = targets(per_bucket.groupBy("origin").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
+    sizes = per_bucket.groupBy("origin").agg(F.sum("bucket_size").alias("source_size"))
+    many = F.count("*").over(Window.partitionBy(F.lit(0))) > MAX_SOURCES
+    per_source = targets(sizes, weights, share, max_epochs).withColumn("target", F.when(many, F.raise_error(F.lit(f"more than {MAX_SOURCES} sources"))).otherwise(F.col("target")))
     words, full = F.round(F.col("target")).cast("long"), F.col("source_size") > 0
     repeats = F.when(full, F.floor(words / F.col("source_size"))).otherwise(0)
     per_source = per_source.withColumn("repeats", repeats).withColumn("cut", words - F.col("repeats") * F.col("source_size"))
-    earlier = Window.partitionBy("origin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_bucket.withColumn("bucket_at", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    open_buckets = placed.join(per_source.select("origin", "cut"), "origin").filter((F.col("bucket_at") <= F.col("cut")) & (F.col("cut") < F.col("bucket_at") + F.col("bucket_size")))
-    inside = Window.partitionBy("origin").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    members = sized.select("origin", "place", "size", bucket.alias("bucket")).join(open_buckets, ["origin", "bucket"])
-    at = F.col("bucket_at") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    cuts = members.withColumn("part", F.col("cut") - at).filter((F.col("part") >= 0) & (F.col("part") < F.col("size")))
-    cuts = cuts.select("origin", F.struct("place", "size").alias("cut_at"), "part").dropDuplicates(["origin"])
+    up_to = lambda *order: Window.partitionBy("origin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda what, *order: F.coalesce(F.sum(what).over(up_to(*order)), F.lit(0))
+    # the bucket that holds the cut, of its distinct (place, size) the one, and how many of their words lie before the cut
+    placed = per_bucket.withColumn("bucket_at", before("bucket_size", "bucket")).join(per_source.select("origin", "cut"), "origin")
+    open_buckets = placed.filter((F.col("bucket_at") <= F.col("cut")) & (F.col("cut") < F.col("bucket_at") + F.col("bucket_size"))).select("origin", "bucket", (F.col("cut") - F.col("bucket_at")).alias("left"))
+    pairs = sized.withColumn("bucket", bucket).join(open_buckets, ["origin", "bucket"]).groupBy("origin", "place", "size", "left").agg(F.count("*").alias("rows"))
+    pairs = pairs.withColumn("left", F.col("left") - before(F.col("size") * F.col("rows"), "place", "size")).filter((F.col("left") >= 0) & (F.col("left") < F.col("size") * F.col("rows")))
+    # of the rows equal in these, the one at the cut: the nth by lot and row
+    pairs = pairs.select("origin", "place", "size", F.floor(F.col("left") / F.col("size")).alias("nth"), (F.col("left") % F.col("size")).alias("part"))
+    equal = sized.select("origin", "place", "size", "row", _at()["lot"].alias("lot")).join(pairs, ["origin", "place", "size"])
+    lots = equal.groupBy("origin", "lot", "nth").agg(F.count("*").alias("rows")).withColumn("nth", F.col("nth") - before("rows", "lot")).filter((F.col("nth") >= 0) & (F.col("nth") < F.col("rows")))
+    inside = equal.drop("nth").join(lots.drop("rows"), ["origin", "lot"]).withColumn("n", F.row_number().over(Window.partitionBy("origin").orderBy("row")) - 1)
+    cuts = inside.filter("n = nth").select("origin", F.struct("place", "size", "lot", "row").alias("cut_at"), "part")
     return per_source.drop("cut").join(cuts, "origin", "left")
 
 
 def _part():
     """Words of the fractional repetition that a document gives."""
-    here = F.struct("place", "size")
-    return F.when(here < F.col("cut_at"), F.col("size")).when(here == F.col("cut_at"), F.col("part")).otherwise(0)
+    return F.when(_at() < F.col("cut_at"), F.col("size")).when(_at() == F.col("cut_at"), F.col("part")).otherwise(0)
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, scope: str = "session") -> DataFrame:
@@ -109,17 +131,22 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
 
 
 def sample(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, scope: str = "session") -> DataFrame:
-    """The mix itself: rows of documents, as often as taken; a fractional repetition that falls inside a document gives its first words."""
+    """The mix itself: rows of documents, as often as taken; a fractional repetition that falls inside a document gives its first words.
+
+    documents is read twice and should be a table, so that its rows are numbered alike both times.
+    """
     columns = documents.columns
     plan = saved(decisions(saved(_sized(documents, seed), scope), weights, share, max_epochs), scope)
-    keyed = _sized(documents, seed, tuple(columns)).join(plan, "origin")
+    plain = plain_names(documents)
+    of = lambda name: F.col(plain.columns[columns.index(name)])
+    keyed = plain.select(*plain.columns, *_line(of("doc_id"), of("source"), of("text"), seed)).join(plan, "origin")
     copies = F.col("repeats") + F.when(_part() == F.col("size"), 1).otherwise(0)
     wholes = keyed.filter((copies > 0) & (F.col("size") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.col("part").cast("int")), " ")
-    parts = keyed.filter((F.struct("place", "size") == F.col("cut_at")) & (F.col("part") > 0)).withColumn("text", head)
+    head = F.array_join(F.slice(F.regexp_extract_all(of("text"), F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.col("part").cast("int")), " ")
+    parts = keyed.filter((_at() == F.col("cut_at")) & (F.col("part") > 0)).withColumn(plain.columns[columns.index("text")], head)
     if "n_chars" in columns:
-        parts = parts.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return wholes.select(*columns).union(parts.select(*columns))
+        parts = parts.withColumn(plain.columns[columns.index("n_chars")], F.char_length(of("text")).cast(documents.schema["n_chars"].dataType))
+    return wholes.select(*plain.columns).union(parts.select(*plain.columns)).toDF(*columns)
 
 
 #: What mix() returns, for DuckDB.

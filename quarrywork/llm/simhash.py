@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, map_batches, saved, small_batches
+from .common import Bloom, map_batches, plain_names, saved, small_batches
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -263,7 +263,7 @@ def near_duplicates(documents: DataFrame, scope: str = "session") -> DataFrame:
 
 def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = 24) -> DataFrame:
     """The rows of documents without near duplicates: of each group the one with the least doc_id (null last, then by a hash of the text)."""
-    prints = saved(fingerprints(documents.withColumn("row_hash", F.xxhash64("text")), ("row_hash",)), scope)
+    prints = saved(fingerprints(documents.select("doc_id", "text", F.xxhash64("text").alias("row_hash")), ("row_hash",)), scope)
     return first_of_groups(documents, groups(prints, scope), scope, bloom_bits)
 
 
@@ -273,7 +273,6 @@ def first_of_groups(documents: DataFrame, grouped: DataFrame, scope: str = "sess
     Rows that go, and rows found more than once, are few; a Bloom filter finds
     most others, which stay without a join. The rest join exactly.
     """
-    row = F.xxhash64("text")
     grouped = saved(grouped.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")), scope)
     # by root: groups that share an id may have the same component_id
     # written, so that the join that follows shuffles both sides and a root with very many rows can be split
@@ -282,11 +281,14 @@ def first_of_groups(documents: DataFrame, grouped: DataFrame, scope: str = "sess
     crowded = saved(crowded.distinct(), scope)
     bloom = Bloom(crowded.select(F.xxhash64("doc_id", "row_hash").alias("place")), "place", bloom_bits)
 
-    place = F.xxhash64("doc_id", row)
+    columns = documents.columns
+    documents = plain_names(documents)
+    doc_id, text = (documents.columns[columns.index(c)] for c in ("doc_id", "text"))
+    place = F.xxhash64(doc_id, F.xxhash64(text))
     plain = bloom.rows(documents, place, False)
-    looked_up = bloom.rows(documents, place, True).alias("d")
+    looked_up = bloom.rows(documents, place, True)
     c = crowded.select(F.col("doc_id").alias("crowded_id"), F.col("row_hash").alias("crowded_row"), "stays")
-    same = F.col("d.doc_id").eqNullSafe(F.col("crowded_id")) & (F.xxhash64("d.text") == F.col("crowded_row"))
+    same = F.col(doc_id).eqNullSafe(F.col("crowded_id")) & (F.xxhash64(text) == F.col("crowded_row"))
     kept = looked_up.join(c, same, "left").filter(F.coalesce("stays", F.lit(True)))
     once = kept.filter("stays").dropDuplicates(["crowded_id", "crowded_row"])
-    return plain.union(kept.filter("stays IS NULL").select("d.*")).union(once.select("d.*"))
+    return plain.union(kept.filter("stays IS NULL").select(*documents.columns)).union(once.select(*documents.columns)).toDF(*columns)
