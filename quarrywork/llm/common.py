@@ -203,38 +203,47 @@ class PrefixHash:
 
 
 class Bloom:
-    """A Bloom filter of a fixed size over 64-bit hashes, filled by Spark.
+    """A Bloom filter over 64-bit hashes, filled by Spark, of BITS bits for each hash.
 
-    Only set words come to the driver, at most 2^bits / 64 of them, whatever the
-    size of the data. A filter that is too small lets more rows through; those
-    who use it join exactly afterwards, so it only saves work.
+    Only set words come to the driver: MOST bits at the most, 16 MB, whatever the
+    size of the data. For more hashes than that serves there is no filter, and
+    every row passes. Those who use it join exactly afterwards, so it only saves work.
     """
 
-    def __init__(self, hashes: DataFrame, col: str, bits: int = 24):
-        self.bits = bits
-        low = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
-        high = F.shiftrightunsigned(F.col(col), 40 - bits if bits < 40 else 0).bitwiseAND(F.lit((1 << bits) - 1))
-        spots = hashes.select(F.explode(F.array(low, high)).alias("spot"))
+    BITS, MOST = 12, 27
+
+    def __init__(self, hashes: DataFrame, col: str, most: int = MOST):
+        n = hashes.count()
+        self.bits = max(12, (self.BITS * n).bit_length())
+        self.words: np.ndarray | None = None
+        if self.bits > most:
+            return
+        mask = F.lit((1 << self.bits) - 1)
+        spots = hashes.select(F.explode(F.array(F.col(col).bitwiseAND(mask), F.shiftrightunsigned(F.col(col), 32).bitwiseAND(mask))).alias("spot"))
         words = spots.select(F.shiftright("spot", 6).alias("word"), F.expr("shiftleft(1L, cast(spot & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
         found = words.toArrow()
-        self.words = np.zeros(1 << (bits - 6), np.int64)
-        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-        self.words = self.words.view(np.uint64)
+        held = np.zeros(1 << (self.bits - 6), np.int64)
+        held[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.words = held.view(np.uint64)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        hashes = hashes.view(np.uint64)
-        mask = np.uint64((1 << self.bits) - 1)
         out = np.ones(len(hashes), bool)
-        for spot in (hashes & mask, (hashes >> np.uint64(40 - self.bits)) & mask):
-            out &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+        if self.words is not None:
+            hashes = hashes.view(np.uint64)
+            for shift in (0, 32):
+                spot = (hashes >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)
+                out &= (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
         return out
 
     def rows(self, df: DataFrame, place, inside: bool) -> DataFrame:
         """The rows of df whose hash (a column expression) the filter has, or those it hasn't."""
+        if self.words is None:
+            return df if inside else df.limit(0)
         schema, columns = df.schema, df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(self.has(batch.column(len(columns)).to_numpy()) == inside)).select(columns)
+                kept = batch.filter(pa.array(self.has(batch.column(len(columns)).to_numpy()) == inside))
+                yield pa.record_batch(kept.columns[: len(columns)], columns)
 
-        return df.select(*columns, place.alias("place in filter")).mapInArrow(run, schema)
+        return df.select("*", place.alias("place in filter")).mapInArrow(run, schema)

@@ -261,13 +261,13 @@ def near_duplicates(documents: DataFrame, scope: str = "session") -> DataFrame:
     return groups(prints, scope).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = 24) -> DataFrame:
+def keep_first(documents: DataFrame, scope: str = "session", bloom_bits: int = Bloom.MOST) -> DataFrame:
     """The rows of documents without near duplicates: of each group the one with the least doc_id (null last, then by a hash of the text)."""
     prints = saved(fingerprints(documents.select("doc_id", "text", F.xxhash64("text").alias("row_hash")), ("row_hash",)), scope)
     return first_of_groups(documents, groups(prints, scope), scope, bloom_bits)
 
 
-def first_of_groups(documents: DataFrame, grouped: DataFrame, scope: str = "session", bloom_bits: int = 24) -> DataFrame:
+def first_of_groups(documents: DataFrame, grouped: DataFrame, scope: str = "session", bloom_bits: int = Bloom.MOST) -> DataFrame:
     """The first row of each group, from (doc_id, row_hash, root) of all rows; row_hash is xxhash64 of the text.
 
     Rows that go, and rows found more than once, are few; a Bloom filter finds

@@ -345,7 +345,7 @@ def test_toxicity_of_odd_tables(spark, tables, name):
 
 
 @TABLES
-@pytest.mark.parametrize("bits", [24, 7])
+@pytest.mark.parametrize("bits", [27, 7])
 def test_substrings(tables, name, bits):
     source = rows(tables[name])
     least = {}
@@ -369,7 +369,7 @@ def test_substrings(tables, name, bits):
 
 
 def test_covered_words():
-    assert debruijn.covered(10, [(0, 0b101)], 4).tolist() == [True] * 6 + [False] * 4
+    assert debruijn.covered(10, [(0, 1), (2, 1)], 4).tolist() == [True] * 6 + [False] * 4
 
 
 # ---- 7: quality
