@@ -39,7 +39,8 @@ so depth has no limit.
 Pages with one and the same folded tree count once, with sums, before anything
 is shuffled. Wrappers of a host merge in three levels, by a hash and then all,
 so that a host that has a third of all pages is spread. The wrappers, one
-for a host, join the pages by host.
+for a host, are sent to all where they are SENT bytes together at the most, and
+else join the pages by host.
 
 Defined results: null or empty html, or html without an article's text, gives
 an empty text; a null URL, or one without a host, belongs to the host "";
@@ -66,6 +67,7 @@ from pyspark.sql import functions as F
 from .common import partitions_for, saved, slices, small_batches
 
 CONSTANT, TOGETHER, KEPT, ITEMS, CELLS = 0.9, 5, 256, 5000, 1_000_000
+SENT = 32 << 20
 
 #: Fixed lists. Elements without content; whose content is no markup; that end an open paragraph and separate blocks;
 #: that end an open element of their own kind; whose text is not looked into further.
@@ -683,18 +685,23 @@ def wrappers(pages: DataFrame, parts: int = 16, most: int = 2000, held_items: in
     return found.repartition(tasks, "host").groupBy("host").applyInPandas(merged, _WRAPPERS)
 
 
-def extract(pages: DataFrame, scope: str = "session") -> DataFrame:
+def extract(pages: DataFrame, scope: str = "session", most_sent: int = SENT) -> DataFrame:
     """One row per page: page_id, url, text and n_chars."""
     small_batches(pages.sparkSession)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     known = saved(wrappers(keyed), scope)
+    size = known.agg(F.sum(F.length("wrapper") + F.length("host"))).head()[0] or 0
+    sent = None
+    if size <= most_sent:
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in known.toLocalIterator()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[bytes, Item] = {}
         for batch in batches:
             for part in slices(batch, 2):
                 out = []
-                for page, data in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for page, key in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    data = key if sent is None else sent.value[key]
                     if data not in read:
                         if len(read) > 200:
                             read.clear()
@@ -702,5 +709,5 @@ def extract(pages: DataFrame, scope: str = "session") -> DataFrame:
                     out.append(cut(parse(page), read[data]))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = keyed.join(known, "host").select("page_id", "url", "html", "wrapper")
+    joined = keyed.select("page_id", "url", "html", "host") if sent else keyed.join(known, "host").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -203,6 +203,8 @@ def test_odd_pages(spark):
     got = {(r.page_id, r.url): r for r in wrappers.extract(df).collect()}
     assert got[1, "http://a.org/1"].text == "" and got[3, None].text == "text" and got[4, "nonsense"].text == "plain < text & more"
     assert got[5, "http://a.org/3"].n_chars == 39_999 and got[None, "http://a.org/4"].text == "x\nx" and len(got) == 6
+    joined = wrappers.extract(df, most_sent=0).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, wrappers.extract(df).collect()))
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
