@@ -62,6 +62,11 @@ def release(spark: SparkSession, scope: str = "session") -> None:
             print(f"quarrywork: {path} stays: {type(gone).__name__}")
 
 
+def moved(old: str, new: str) -> None:
+    """What was saved under one scope belongs to another from now on."""
+    _SAVED.setdefault(new, []).extend(_SAVED.pop(old, []))
+
+
 #: Rows of an Arrow batch, and of a batch of the Parquet reader, where whole texts go to Python: a few MB of ordinary documents.
 TEXT_ROWS, READER_ROWS = 1000, 512
 

@@ -11,11 +11,18 @@ feasible functions (the sum of the lengths; Martello and Toth's f_t, which
 rounds pieces above size - t up and drops those below t; and the family that
 counts how many multiples of 1/k a length exceeds). Where the number
 equals the bound, the packing is optimal for the pieces at hand. A partition
-with a gap gives up its least filled sequences, as many as could close it; the
-partitions with gaps exchange these documents, several partitions' lots meet in
-one, and best-fit decreasing runs again. A new lot is bounded like the first
-partitions, so rounds only ever see bounded groups. Rounds end when no gap is
-left, or when the pieces exchanged fit one partition.
+with a gap gives up its least filled sequences, as many as could close it. One
+without a gap gives up its least filled sequence only, as the room left there
+is what rounding up its bound has cost. The partitions exchange the documents
+given up, several partitions' lots meet in one, and best-fit decreasing runs
+again. A new lot is bounded like the first partitions, so rounds only ever see
+bounded groups. Rounds go on until the pieces exchanged fit one partition, none
+are given up, or a round needs as many sequences as it was given (its pieces
+then stay as they were).
+
+The certificate goes with the result: every piece has its lot (the partition
+where it was packed last), and the number of sequences and the bound of that
+lot; certificate() gives a row per lot. total_bound() bounds all pieces together.
 
 Tokenizing: ASCII white space always ends a token here (the tokenizer's
 pre-tokenizer never joins across it), so each distinct run of other characters
@@ -23,7 +30,8 @@ is encoded once and its ids are reused.
 
 Defined results: a null or empty text is the end id alone; rows that share an
 id are packed one by one and their pieces carry the same doc_id; an empty table
-gives an empty table. Other columns are ignored.
+gives an empty table. Other columns are ignored. A text is tokenized as a whole,
+so a very long one takes memory of a few times its size.
 """
 
 from __future__ import annotations
@@ -44,7 +52,6 @@ from .common import Words, saved, slices, small_batches
 SIZE, END = 2048, 0
 #: Pieces of a partition, about.
 PARTITION = 60_000
-ROUNDS = 3
 #: Distinct runs of characters whose ids a task remembers.
 REMEMBERED = 200_000
 
@@ -150,9 +157,10 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end: int = EN
     return documents.select("doc_id", F.col("text").alias("whole_text"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema)
 
 
-def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
-    """The best of the dual-feasible-function bounds on the number of sequences."""
-    counts = np.bincount(lengths, minlength=size + 1)
+def lower_bound(lengths: np.ndarray, size: int = SIZE, times: np.ndarray | None = None) -> int:
+    """The best of the dual-feasible-function bounds on the number of sequences; times: how many pieces there are of each length given."""
+    counts = np.zeros(size + 1, np.int64)
+    np.add.at(counts, lengths, 1 if times is None else times)
     value = np.arange(size + 1)
     best = -(-int((counts * value).sum()) // size)
     above = np.cumsum(counts[::-1])[::-1]  # pieces of at least that length
@@ -197,55 +205,78 @@ def best_fit(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndar
     return sequence, offset, left
 
 
-def pack_group(lengths: np.ndarray, size: int, give: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """A partition's packing, which pieces it gives up for exchange, its number of sequences and their bound."""
+def pack_group(lengths: np.ndarray, size: int, give: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """A partition's packing, which pieces it gives up for exchange, and its certificate: sequences and their bound, of all pieces and of those kept."""
     sequence, offset, left = best_fit(lengths, size)
     bound = lower_bound(lengths, size)
     gap = len(left) - bound
     out = np.zeros(len(lengths), bool)
+    kept_used, kept_bound = len(left), bound
     if give:
-        # with or without a gap of its own, at most one sequence's room in all is lost to rounding; what the gap
-        # has lost is in the emptiest sequences: enough of them that their room would make up gap + 1 sequences
+        # what the gap has lost is in the emptiest sequences: enough of them that their room would make up gap + 1 sequences
         ranked = np.argsort(-left, kind="stable")
         share = np.cumsum(left[ranked])
-        need = int(np.searchsorted(share, (gap + 1) * size)) + 1 if gap > 0 else 1
-        out = np.isin(sequence, ranked[: min(len(ranked), need)])
-    return sequence, offset, out, len(left), bound
+        need = min(len(ranked), int(np.searchsorted(share, (gap + 1) * size)) + 1 if gap > 0 else 1)
+        out = np.isin(sequence, ranked[:need])
+        kept_used, kept_bound = len(left) - need, lower_bound(lengths[~out], size)
+    return sequence, offset, out, {"used": len(left), "bound": bound, "kept_used": kept_used, "kept_bound": kept_bound}
 
 
-_PACKED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, part long, local long, offset long, given boolean, used long, bound long"
+_PACKED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, part long, local long, offset long, given boolean, used long, bound long, kept_used long, kept_bound long"
 
 
 def _pack(dealt: DataFrame, size: int, give: bool) -> DataFrame:
     def run(group):
         group = group.sort_values(["length", "doc_id", "row", "piece"], kind="stable")
-        sequence, offset, given, used, bound = pack_group(group["length"].to_numpy(), size, give)
-        return group.assign(local=sequence, offset=offset, given=given, used=used, bound=bound)
+        sequence, offset, given, certificate = pack_group(group["length"].to_numpy(), size, give)
+        return group.assign(local=sequence, offset=offset, given=given, **certificate)
 
     return dealt.groupBy("part").applyInPandas(run, _PACKED)
 
 
-def pack(cut: DataFrame, size: int = SIZE, partition: int = PARTITION, rounds: int = ROUNDS, scope: str = "session") -> DataFrame:
-    """pieces() with sequence_id and offset; each sequence is gapless from offset 0. cut must be a written table."""
+def pack(cut: DataFrame, size: int = SIZE, partition: int = PARTITION, scope: str = "session") -> DataFrame:
+    """pieces() with sequence_id, offset, lot, lot_used and lot_bound; each sequence is gapless from offset 0. cut must be a written table."""
     columns = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
-    # sequences of full pieces are numbered below 0, others by round, partition and place there
-    done = [cut.filter(F.col("length") == size).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    one = F.lit(1).cast("long")
+    # sequences and lots of full pieces are numbered below 0, others by round, partition and place there
+    full = (-1 - F.monotonically_increasing_id()).alias("sequence_id")
+    done = [cut.filter(F.col("length") == size).select(*columns, full, F.lit(0).cast("long").alias("offset"), F.lit(-1).cast("long").alias("lot"), one.alias("lot_used"), one.alias("lot_bound"))]
+
+    def placed(packed: DataFrame, turn: int, used: str, bound: str) -> DataFrame:
+        first = F.lit(turn << 52)
+        sequence, lot = first + F.shiftleft(F.col("part"), 20) + F.col("local"), first + F.col("part")
+        return packed.select(*columns, sequence.alias("sequence_id"), "offset", lot.alias("lot"), F.col(used).alias("lot_used"), F.col(bound).alias("lot_bound"))
+
     rest = cut.filter(F.col("length") < size)
-    n = rest.count()
-    for turn in range(rounds):
+    n, turn, before, given_up = rest.count(), 0, None, 0
+    while n:
         lots = max(1, -(-n // partition))
         deal = F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(lots))
-        packed = saved(_pack(rest.select(*columns, deal.alias("part")), size, lots > 1 and turn + 1 < rounds), scope)
-        done.append(packed.filter("not given").select(*columns, (F.lit(turn << 58) + F.shiftleft(F.col("part"), 26) + F.col("local")).alias("sequence_id"), "offset"))
-        rest = packed.filter("given")
-        n = rest.count() if lots > 1 else 0
-        if not n:
+        packed = saved(_pack(rest.select(*columns, deal.alias("part")), size, lots > 1), scope)
+        used = packed.groupBy("part").agg(F.max("used").alias("used"), F.max(F.col("used") - F.col("kept_used")).alias("given_up")).agg(F.sum("used").alias("used"), F.sum("given_up").alias("given_up")).head()
+        if before is not None and used["used"] >= given_up:
+            done[-1] = placed(before, turn - 1, "used", "bound")  # nothing gained: as it was
             break
+        done.append(placed(packed.filter("not given"), turn, "kept_used", "kept_bound"))
+        before, given_up, rest, turn = packed, used["given_up"], packed.filter("given"), turn + 1
+        n = rest.count() if lots > 1 else 0
     whole = done[0]
     for part in done[1:]:
         whole = whole.union(part)
     return whole.drop("row")
 
 
+def certificate(packed: DataFrame) -> DataFrame:
+    """(lot, pieces, sequences, bound): a lot whose sequences equal its bound is packed as well as can be."""
+    full = F.col("lot") == -1
+    return packed.groupBy("lot").agg(F.count("*").alias("pieces"), F.when(full, F.count("*")).otherwise(F.max("lot_used")).alias("sequences"), F.when(full, F.count("*")).otherwise(F.max("lot_bound")).alias("bound"))
+
+
+def total_bound(packed: DataFrame, size: int = SIZE) -> int:
+    """The bound for all pieces together, from how many there are of each length."""
+    rows = packed.groupBy("length").count().collect()  # one row for each length, size at the most
+    return lower_bound(np.array([r["length"] for r in rows], np.int64), size, np.array([r["count"] for r in rows], np.int64)) if rows else 0
+
+
 def pack_documents(documents: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, scope: str = "session") -> DataFrame:
     return pack(saved(pieces(documents, tokenizer, size, end), scope), size, scope=scope)

@@ -486,13 +486,24 @@ def check_sequences(got):
     return len(by)
 
 
-def test_rounds_of_exchange(spark):
-    lengths = np.random.default_rng(6).integers(600, 1500, 3000)
-    cut = spark.createDataFrame([(i, i, 0, 0, int(n), 7) for i, n in enumerate(lengths)], "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack(common.saved(cut), partition=300).collect()
-    assert len(got) == 3000
-    used, alone = check_sequences(got), len(packing.best_fit(lengths)[2])
-    assert packing.lower_bound(lengths) <= used <= 1.03 * alone
+@pytest.mark.parametrize("low, high, partition", [(600, 1500, 300), (1, 2000, 150), (1025, 2047, 100)])
+def test_rounds_of_exchange_and_certificate(spark, low, high, partition):
+    lengths = np.random.default_rng(6).integers(low, high, 3000)
+    cut = spark.createDataFrame([(i, i, 0, 0, int(n), 7) for i, n in enumerate(lengths)] + [(9, 3000, 0, 0, 2048, 7), (9, 3000, 1, 2048, 2048, 7)], "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    packed = common.saved(packing.pack(common.saved(cut), partition=partition))
+    got = packed.collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == sorted([(i, 0, int(n)) for i, n in enumerate(lengths)] + [(9, 0, 2048), (9, 1, 2048)])
+    used, alone = check_sequences(got), len(packing.best_fit(lengths)[2]) + 2
+    assert packing.lower_bound(lengths) + 2 == packing.total_bound(packed) <= used <= 1.03 * alone
+    # each lot's certificate is of the pieces packed there
+    lots = collections.defaultdict(list)
+    for r in got:
+        lots[r.lot].append(r)
+    for c in packing.certificate(packed).collect():
+        own = lots.pop(c.lot)
+        assert (c.pieces, c.sequences, c.bound) == (len(own), len({r.sequence_id for r in own}), packing.lower_bound(np.array([r.length for r in own])))
+        assert c.sequences >= c.bound
+    assert not lots
 
 
 @pytest.mark.parametrize("seed", range(4))
