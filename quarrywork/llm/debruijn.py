@@ -279,6 +279,6 @@ def without_repeats(documents: DataFrame, scope: str = "session", bloom_bits: in
         out[text_at] = pa.array([c[2] if c[1] else t for c, t in zip(cuts, out[text_at].to_pylist())], out[text_at].type)
         if chars_at is not None:
             out[chars_at] = pa.array([len(c[2]) if c[1] else n for c, n in zip(cuts, out[chars_at].to_pylist())], pa.int64()).cast(out[chars_at].type)
-        return pa.record_batch(out, columns)
+        return pa.record_batch(out, part.schema.names[: len(columns)])
 
-    return _each_cut(documents, made, documents.schema, scope, bloom_bits)
+    return _each_cut(documents, made, plain_names(documents).schema, scope, bloom_bits).toDF(*columns)

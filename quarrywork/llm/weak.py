@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_batches, mix, rolling, saved, slices, small_batches, sums
+from .common import Words, map_batches, mix, plain_names, rolling, saved, slices, small_batches, sums
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -214,4 +214,5 @@ def keep_good(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 m = measure(part, slot)
                 yield part.filter(pa.array(_verdicts(m, _pattern(votes(m)), model, threshold)[2]))
 
-    return documents.mapInArrow(run, documents.schema)
+    plain = plain_names(documents)
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)

@@ -516,29 +516,115 @@ def test_bounds_hold(seed):
 # ---- the pipeline
 
 
-def test_pipeline(spark, docs, odd):
+def least_of_near_copies(rows):
+    """Ids of the documents that stay: of each component of texts whose sets of five words have a Jaccard similarity of 0.8 the least."""
+    sets = {}
+    for i, t in rows:
+        w = words(ascii_lower(t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = collections.defaultdict(list)
+    for i, own in sorted(sets.items()):
+        both = collections.Counter(j for s in own for j in holders[s])
+        for j, n in both.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for s in own:
+            holders[s].append(i)
+    empty = [i for i in sets if not sets[i]]
+    for i in empty:
+        root[i] = min(empty)
+    return sorted({find(i) for i in sets})
+
+
+def brute_cut(rows):
+    """Texts without the words of windows of fifty words that a smaller id has."""
+    least = {}
+    for i, t in rows:
+        w = words(t)
+        for j in range(len(w) - 49):
+            k = tuple(w[j : j + 50])
+            least[k] = min(i, least.get(k, i))
+    out = {}
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for j in range(len(w) - 49):
+            if least[tuple(w[j : j + 50])] < i:
+                gone[j : j + 50] = [True] * 50
+        out[i] = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else t
+    return out
+
+
+def test_pipeline(spark, docs):
+    """Each stage against a brute-force version of it, on what the stage before has kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
+    known = Tokenizer.from_file(queries.tokenizer_path())
     now = docs
     for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in now.collect()} if name != "best-fit packing" else None
+        listed = rows(now)
         after = common.saved(stage(spark, now, DATA), "test")
+        got = after.collect()
         if name == "quality rules":
             kept = {r.doc_id for r in weak.judge(now).filter("kept").collect()}
-            assert {r.doc_id for r in after.collect()} == kept
+            assert {r.doc_id: r for r in got} == {i: before[i] for i in kept} and len(got) == len(kept)
         elif name == "SimHash near-dedup":
-            groups = simhash.near_duplicates(now).select("component_id").distinct()
-            assert sorted(r[0] for r in groups.collect()) == sorted(r.doc_id for r in after.collect())
+            assert sorted(r.doc_id for r in got) == least_of_near_copies(listed) and all(before[r.doc_id] == r for r in got)
         elif name == "substring dedup":
-            left = {r.doc_id: r.n_words - r.n_removed for r in debruijn.deduplicate(now, with_text=False).collect()}
-            assert {r.doc_id: len(words(r.text)) for r in after.collect()} == left
+            assert {r.doc_id: r.text for r in got} == brute_cut(listed) and all(r.n_chars == len(r.text) for r in got)
+        elif name == "mixing to target weights":
+            taken = {r.doc_id: r.taken for r in mixing.mix(now).collect()}
+            found = collections.Counter()
+            for r in got:
+                found[r.doc_id] += len(words(r.text))
+                assert words(before[r.doc_id].text)[: len(words(r.text))] == words(r.text)
+            assert {i: n for i, n in taken.items() if n} == dict(found)
+        else:
+            ids = collections.Counter((i, len(known.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in listed)
+            pieces = collections.defaultdict(list)
+            for r in got:
+                pieces[r.doc_id].append(r.length)
+            total = collections.Counter()
+            for (i, n), times in ids.items():
+                total[i] += n * times
+            assert {i: sum(p) for i, p in pieces.items()} == total
         if name != "best-fit packing":
             assert after.columns == docs.columns
         now = after
-    assert check_sequences(now.collect()) > 0
-    plain = odd.select(*docs.columns)
-    for _, stage in corpus_pipeline.STAGES:
-        plain = common.saved(stage(spark, plain, DATA), "test")
-    assert "sequence_id" in plain.columns
+    assert check_sequences(now.collect()) >= packing.total_bound(now) > 0
+
+
+#: All names that the stages use inside.
+INSIDE = (
+    "c0 c1 c2 c9 row_hash set_id keys place shingles root n a b node crowded_id crowded_row stays rank first none whole_text id_hash spans span_doc span_row n_words n_removed kept_sha256 kept_text origin size target part copy cut_at repeats"
+    " source_size lot bucket left nth pattern posterior kept piece start length ids_crc32 local given sequence_id offset owner body asked wrapper"
+).split()
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.concat(F.lit(f"{c} "), F.col("source")) for c in INSIDE} | {"place in filter": F.lit(1), "a.b": F.lit(2)})
+    now, empty = frame, frame.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        now, empty = common.saved(stage(spark, now, DATA), "test"), common.saved(stage(spark, empty, DATA), "test")
+        assert empty.count() == 0
+        if name != "best-fit packing":
+            assert now.columns == frame.columns and now.count() > 0
+            assert all(r[c] == (None if r["source"] is None else f"{c} {r['source']}") for r in now.collect() for c in INSIDE)
+    assert "sequence_id" in now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:  # n_chars isn't needed
+        assert stage(spark, spark.createDataFrame(ODD, SCHEMA).drop("n_chars"), DATA).count() > 0
 
 
 def test_near_dedup_stage_is_exact_jaccard(spark, odd):
