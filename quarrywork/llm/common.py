@@ -166,6 +166,11 @@ def crc32_mod(col: str, n: int):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
+def hash_share(share: float) -> int:
+    """The 64-bit hash up to which such a share of all hashes lies."""
+    return min(int(share * 2**64), 2**64 - 1) - 2**63
+
+
 def slices(batch: pa.RecordBatch, text_at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes of text, so that work arrays stay small; a longer text is a piece of its own."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)).astype(np.int64)

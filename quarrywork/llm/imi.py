@@ -1,8 +1,11 @@
 """Nearest neighbours by inner product with an inverted multi-index.
 
-Vectors are cut into two halves, each with a codebook of CENTROIDS centroids
-from k-means on a bounded sample (SAMPLE vectors, those with the least hashes of
-their ids). A vector belongs to the cell (i, j) of the nearest centroids of its
+Vectors are cut into two halves, each with a codebook of centroids from k-means
+on a bounded sample. The table's size gives the number of centroids: the power
+of two next to a quarter of the square root of the number of vectors, CENTROIDS
+at least and MOST_CENTROIDS at the most; the sample has SAMPLE_EACH vectors for each, and
+SAMPLE at least, those with the least hashes of id and row.
+A vector belongs to the cell (i, j) of the nearest centroids of its
 halves. A query takes cells in falling order of the sum of its halves' inner
 products with their centroids, by the multi-sequence algorithm with a heap,
 until they hold its budget of entries; these are reranked by the exact inner
@@ -25,7 +28,9 @@ a fixed size, reach the driver.
 Defined results: vectors that are null, zero, of another length than most in
 the sample, or hold a null, infinite or NaN component take no part, nor do rows
 without an id; a query isn't its own neighbour, nor are other rows with its id;
-rows that share an id and its vector are one query; ties go to the smaller id;
+rows that share an id and its vector are one query, rows that share an id but
+not the vector are queries of their own, each with its list from rank 1 and
+query_row telling them apart; as candidates, rows that share an id are entries each; ties go to the smaller id;
 fewer candidates than k give fewer rows; an empty table gives an empty table.
 Other columns are ignored.
 """
@@ -40,9 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hash_share, saved
 
-K, CENTROIDS, SAMPLE, PROBES, RECALL, LEAST, BLOCK = 20, 64, 16_384, 512, 0.97, 4096, 16_384
+K, CENTROIDS, MOST_CENTROIDS, SAMPLE, SAMPLE_EACH, PROBES, RECALL, LEAST, BLOCK = 20, 64, 1024, 16_384, 64, 512, 0.97, 4096, 16_384
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
@@ -96,12 +101,13 @@ class Index:
     def cells(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return nearest(vectors[:, : self.half], self.books[0]), nearest(vectors[:, self.half :], self.books[1])
 
-    def route(self, vector: np.ndarray) -> dict[int, int]:
-        """Of each first centroid that the query looks at, the second ones as bits."""
-        wanted: dict[int, int] = {}
+    def route(self, vector: np.ndarray) -> dict[int, bytes]:
+        """Of each first centroid that the query looks at, the second ones as a set of bits."""
+        wanted = np.zeros(self.counts.shape, bool)
         for i, j in traverse(self.books[0] @ vector[: self.half], self.books[1] @ vector[self.half :], self.counts, self.budget):
-            wanted[i] = wanted.get(i, 0) | 1 << j
-        return wanted
+            wanted[i, j] = True
+        packed = np.packbits(wanted, axis=1)
+        return {i: packed[i].tobytes() for i in np.flatnonzero(wanted.any(axis=1)).tolist()}
 
     def calibrate(self, sample: np.ndarray, k: int, probes: int, recall: float, least: int) -> None:
         """Sets the budget from the sample and the counts."""
@@ -153,17 +159,25 @@ def best_in_block(queries: np.ndarray, own: np.ndarray, wanted: np.ndarray, entr
     return q[keep], e[keep], exact[keep]
 
 
-def search(embeddings: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int = CENTROIDS, sample_size: int = SAMPLE, probes: int = PROBES, recall: float = RECALL, least: int = LEAST, block: int = BLOCK, scope: str = "session") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of each row for which is_query (a column expression of the id) holds."""
-    if centroids > 64:
-        raise ValueError("sets of second centroids are 64 bits wide")
+def centroids_for(n: int) -> int:
+    return int(np.clip(1 << max(0, round(np.log2(max(1, n)) / 2) - 2), CENTROIDS, MOST_CENTROIDS))
+
+
+def search(embeddings: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int | None = None, sample_size: int | None = None, probes: int = PROBES, recall: float = RECALL, least: int = LEAST, block: int = BLOCK, scope: str = "session") -> DataFrame:
+    """(query_id, rank, vec_id, score, query_row): the k nearest of each row for which is_query (a column expression of the id) holds."""
     spark = embeddings.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
+    result = "query_id long, rank int, vec_id long, score double, query_row long"
     vector = F.col("v")
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = vector.isNotNull() & F.col("id").isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = rows.filter(F.coalesce(sound, F.lit(False)))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample_size).toArrow()
+    n = rows.count()
+    centroids = centroids or centroids_for(n)
+    sample_size = sample_size or max(SAMPLE, SAMPLE_EACH * centroids)
+    # a threshold lets little more than the sample through to the task that puts it in order
+    share = min(1.0, (1.2 * sample_size + 1000) / max(1, n))
+    ranked = rows.withColumn("at", F.xxhash64("id", F.monotonically_increasing_id()))
+    picked = ranked.filter(F.col("at") <= F.lit(hash_share(share))).orderBy("at", "id").limit(sample_size).drop("at").toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], result)
     held = picked.column("v").combine_chunks()
@@ -179,27 +193,28 @@ def search(embeddings: DataFrame, is_query, k: int = K, id_col: str = "vec_id",
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], ["id", "v", "i", "j"])
 
     coded = saved(rows.mapInArrow(assign, "id long, v array<double>, i int, j int"), scope)
-    for r in coded.groupBy("i", "j").count().collect():  # centroids^2 rows at the most
-        index.counts[r["i"], r["j"]] = r["count"]
+    cells = coded.groupBy("i", "j").count().toArrow()  # centroids^2 rows at the most
+    index.counts[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("count").to_numpy()
     index.calibrate(sample, k, probes, recall, least)
     blocks = np.maximum(1, -(-index.counts.sum(axis=1) // block))
     per_first = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("i") + 1)
-    entries = coded.select(F.col("i"), F.pmod(F.xxhash64("id", F.lit(3)), per_first).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v", F.col("j").cast("long").alias("seconds"))
+    entries = coded.select(F.col("i"), F.pmod(F.xxhash64("id", F.lit(3)), per_first).cast("int").alias("block"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("q"), "v", "j", F.lit(None).cast("binary").alias("seconds"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[tuple[int, int, int, int]] = []
-                for row, q in enumerate(_matrix(part.column(1), size)):
+                out: list[tuple[int, int, int, bytes]] = []
+                for row, q in enumerate(_matrix(part.column(2), size)):
                     for i, bits in index.route(q).items():
                         out += [(row, i, b, bits) for b in range(blocks[i])]
                 row, i, b, bits = zip(*out)
                 take = pa.array(row)
-                yield pa.record_batch([pa.array(i, pa.int32()), pa.array(b, pa.int32()), pa.array([1] * len(out), pa.int32()), part.column(0).take(take), part.column(1).take(take), pa.array(np.array(bits, np.uint64).view(np.int64))], ["i", "block", "kind", "id", "v", "seconds"])
+                zero = pa.array(np.zeros(len(out), np.int32))
+                yield pa.record_batch([pa.array(i, pa.int32()), pa.array(b, pa.int32()), pa.array([1] * len(out), pa.int32()), *(part.column(c).take(take) for c in range(3)), zero, pa.array(bits, pa.binary())], ["i", "block", "kind", "id", "q", "v", "j", "seconds"])
 
-    queries = coded.filter(is_query(F.col("id"))).select("id", "v").distinct()
-    routed = queries.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(route, "i int, block int, kind int, id long, v array<double>, seconds long")
+    queries = coded.filter(is_query(F.col("id"))).select("id", F.xxhash64("id", "v").alias("q"), "v").distinct()
+    routed = queries.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(route, "i int, block int, kind int, id long, q long, v array<double>, j int, seconds binary")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, vectors, ids, seconds = None, [], [], []
@@ -212,9 +227,9 @@ def search(embeddings: DataFrame, is_query, k: int = K, id_col: str = "vec_id",
                 if keys[lo] != at:
                     at, vectors, ids, seconds = keys[lo], [], [], []
                 if kinds[lo] == 0:
-                    vectors.append(_matrix(part.column(4), size))
+                    vectors.append(_matrix(part.column(5), size))
                     ids.append(part.column(3).to_numpy())
-                    seconds.append(part.column(5).to_numpy())
+                    seconds.append(part.column(6).to_numpy())
                     continue
                 if not ids:
                     continue
@@ -223,13 +238,14 @@ def search(embeddings: DataFrame, is_query, k: int = K, id_col: str = "vec_id",
                 rows = max(1, (1 << 21) // len(ids[0]))  # a matrix of 16 MB
                 for start in range(0, part.num_rows, rows):
                     few = part.slice(start, rows)
-                    own, bits = few.column(3).to_numpy(), few.column(5).to_numpy().view(np.uint64)
-                    wanted = (bits[:, None] >> seconds[0].astype(np.uint64)[None, :]) & np.uint64(1) == 1
-                    q, e, score = best_in_block(_matrix(few.column(4), size), own, wanted, vectors[0], ids[0], k)
+                    own = few.column(3).to_numpy()
+                    sets = np.frombuffer(b"".join(few.column(7).to_pylist()), np.uint8).reshape(few.num_rows, -1)
+                    wanted = np.unpackbits(sets, axis=1)[:, seconds[0]].astype(bool)
+                    q, e, score = best_in_block(_matrix(few.column(5), size), own, wanted, vectors[0], ids[0], k)
                     if len(q):
-                        yield pa.record_batch([pa.array(own[q]), pa.array(ids[0][e]), pa.array(score)], ["query_id", "vec_id", "score"])
+                        yield pa.record_batch([pa.array(own[q]), few.column(4).take(pa.array(q)), pa.array(ids[0][e]), pa.array(score)], ["query_id", "query_row", "vec_id", "score"])
 
     dealt = entries.union(routed).repartition("i", "block").sortWithinPartitions("i", "block", "kind")
-    found = dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = dealt.mapInArrow(rerank, "query_id long, query_row long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")

@@ -6,8 +6,10 @@ the automaton of all strings within one edit of a term is that trie with a
 count of edits: its states are sets of (node, edits). States are made when
 some word first needs them, so the product of automaton and trie is never built
 whole, and all distinct words of a batch step through it together. Terms under
-FUZZY_FROM characters allow no edit; forms within an edit that documents which
-aren't toxic use as well count as words of their own.
+FUZZY_FROM characters allow no edit, nor do beginnings by themselves; the whole
+forms behind a beginning are terms beside it, so misspelt inflected forms are
+found too. Forms within an edit that documents which aren't toxic use as well
+count as words of their own.
 
 Each hit is seen in its context, the WINDOW words before and behind it: quoted
 or reported speech counts as quotation, an address to someone as abuse. A
@@ -37,10 +39,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc32_mod, saved, slices, small_batches
+from .common import Words, crc32_mod, hash_share, saved, slices, small_batches
 from .simhash import fingerprint
 
-SAMPLE, TERMS, LIFT, FUZZY_FROM, WINDOW = 20_000, 256, 25.0, 5, 6
+SAMPLE, LIFT, FUZZY_FROM, WINDOW = 20_000, 25.0, 5, 6
 #: Bits in which fingerprints of one family of copies may differ; unrelated texts differ in about 32.
 FAMILY = 12
 BEGINNINGS = (4, 5, 6)
@@ -60,7 +62,7 @@ class FuzzyTrie:
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: dict[int, tuple[int, bool]] = {}  # node: the term's length, whether a beginning is enough
+        self.ends: dict[int, tuple[int, bool, bool]] = {}  # node: the term's length, whether a beginning is enough, and whether it is a whole form
         for text, begins in terms:
             node = 0
             for char in text:
@@ -68,7 +70,8 @@ class FuzzyTrie:
                     self.children[node][char] = len(self.children)
                     self.children.append({})
                 node = self.children[node][char]
-            self.ends[node] = (len(text), begins or self.ends.get(node, (0, False))[1])
+            _, before, whole = self.ends.get(node, (0, False, False))
+            self.ends[node] = (len(text), begins or before, whole or not begins)
         self.alphabet = np.array(sorted({ord(c) for text, _ in terms for c in text}), np.uint32)
         self.states: list[frozenset[tuple[int, int]]] = [frozenset()]
         self.number: dict[frozenset[tuple[int, int]], int] = {frozenset(): 0}
@@ -84,9 +87,9 @@ class FuzzyTrie:
             self.number[found] = len(self.states)
             self.states.append(found)
             ends = [(self.ends[n], e) for n, e in found if n in self.ends]
-            self.kind_now.append(BEGINS if any(begins and e == 0 for (_, begins), e in ends) else 0)
+            self.kind_now.append(BEGINS if any(begins and e == 0 for (_, begins, _), e in ends) else 0)
             exact = any(e == 0 for _, e in ends)
-            edited = any(e == 1 and length >= FUZZY_FROM and not begins for (length, begins), e in ends)
+            edited = any(e == 1 and length >= FUZZY_FROM and whole for (length, _, whole), e in ends)
             self.kind_at_end.append(EXACT if exact else EDITED if edited else 0)
             if len(self.states) > len(self.table):
                 self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
@@ -196,23 +199,33 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
     return w
 
 
-def choose_terms(seen: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int, most: int = TERMS, lift: float = LIFT) -> list[tuple[str, bool]]:
+def choose_terms(seen: list[tuple[str, bool, int, int]], n_pos: int, n_neg: int, lift: float = LIFT) -> list[tuple[str, bool]]:
     """(text, begins) from counts of documents (text, is a beginning, toxic ones, other ones)."""
     words = {t: p for t, begins, p, _ in seen if not begins}
-    good = [(p, len(t), t) for t, begins, p, n in seen if begins and (p / n_pos) >= lift * (n + 0.5) / max(1, n_neg)]
-    good += [(p, len(t), t) for t, begins, p, n in seen if not begins and len(t) < BEGINNINGS[0] and (p / n_pos) >= lift * (n + 0.5) / max(1, n_neg)]
-    whole = [(p, len(t), t) for t, begins, p, n in seen if not begins and len(t) >= BEGINNINGS[0] and (p / n_pos) >= lift * (n + 0.5) / max(1, n_neg)]
+    fit = [(p, len(t), t, begins) for t, begins, p, n in seen if (p / n_pos) >= lift * (n + 0.5) / max(1, n_neg)]
+    good = [(p, size, t) for p, size, t, begins in fit if begins or size < BEGINNINGS[0]]
+    whole = [(p, size, t) for p, size, t, begins in fit if not begins and size >= BEGINNINGS[0]]
+    beginnings = {t: p for p, _, t in good}
     chosen: dict[str, bool] = {}
+    reach: dict[str, int] = {}  # of each beginning of a term chosen, the documents that such a term covers at the most
+
+    def choose(text: str, begins: bool) -> None:
+        chosen[text] = begins
+        covers = (beginnings if begins else words).get(text, 0)
+        for k in range(1, len(text) + 1):
+            reach[text[:k]] = max(covers, reach.get(text[:k], 0))
+
     # whole words that beginnings of theirs hardly add to, then what covers most
-    beginnings = {t: p for p, _, t in good}
     for p, _, t in sorted(whole, reverse=True):
         if p >= 0.9 * max((beginnings.get(t[:k], 0) for k in BEGINNINGS if k <= len(t)), default=0):
-            chosen[t] = False
+            choose(t, False)
     for p, _, t in sorted(good, reverse=True):
-        covered = any(t.startswith(c) and b for c, b in chosen.items()) or any(c.startswith(t) and p <= 1.1 * (words.get(c, 0) if not b else beginnings.get(c, 0)) for c, b in chosen.items())
-        if not covered and len(chosen) < most:
-            chosen[t] = len(t) >= BEGINNINGS[0] and words.get(t, 0) < 0.9 * p
-    return sorted(chosen.items())[:most]
+        covered = any(chosen.get(t[:k], False) for k in range(1, len(t) + 1)) or (t in reach and p <= 1.1 * reach[t])
+        if not covered:
+            choose(t, len(t) >= BEGINNINGS[0] and words.get(t, 0) < 0.9 * p)
+    # the forms behind a beginning, and it as a form, for their misspellings
+    forms = {(t, False) for _, size, t in whole if size >= FUZZY_FROM and any(chosen.get(t[:k], False) for k in BEGINNINGS)}
+    return sorted({*chosen.items(), *forms})
 
 
 def leaders(prints: np.ndarray, kinds: np.ndarray, near: int = FAMILY) -> np.ndarray:
@@ -233,7 +246,10 @@ def _sample(documents: DataFrame, labels: DataFrame, folds: int, size: int, scop
     """(text, toxic) of at most size labelled documents of the training folds, one of each family of near copies and label."""
     # an id without a remainder (null) has no label, so it can't be chosen
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.filter(crc32_mod("doc_id", folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    known = saved(known.filter(crc32_mod("doc_id", folds) != 0), scope)
+    # a threshold lets little more than the sample through to the task that puts it in order
+    share = min(1.0, (1.2 * size + 1000) / max(1, known.count()))
+    chosen = known.filter(F.xxhash64("doc_id") <= F.lit(hash_share(share))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     rows = saved(chosen, scope)  # at most size rows
     # one text of each id: at most size rows, in as many tasks as the shuffle has
     found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
@@ -290,7 +306,8 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5, size: int = S
         return Lexicon([]), constant
     least = max(3, n_pos // 200)
     frequent = _counts(sample).filter((F.col("toxic") >= least) & (F.col("toxic") * n_neg >= LIFT * n_pos * (F.col("other") + 0.5)))
-    seen = [tuple(r) for r in frequent.orderBy(F.col("toxic").desc(), "term", "begins").limit(20 * TERMS).collect()]
+    # no more than the sample's toxic documents have words, by least
+    seen = [tuple(r) for r in frequent.orderBy(F.col("toxic").desc(), "term", "begins").collect()]
     terms = choose_terms(seen, n_pos, n_neg)
     lexicon = Lexicon(terms)
 
@@ -300,7 +317,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5, size: int = S
                 _, forms, kinds = lexicon.hits(part.column(0))
                 yield pa.record_batch([pa.array(sorted({forms[i] for i in np.flatnonzero(kinds == EDITED)}), pa.string())], ["form"])
 
-    found = sample.filter("toxic = 0").select("text").mapInArrow(edited, "form string").distinct().limit(200_000).collect()
+    found = sample.filter("toxic = 0").select("text").mapInArrow(edited, "form string").distinct().collect()  # strings within an edit of a term
     lexicon = Lexicon(terms, frozenset(r["form"] for r in found))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -314,6 +314,40 @@ def test_automaton_is_edit_distance():
         assert kind == (toxicity.BEGINS if form.startswith("lowei") else toxicity.EXACT if exact else toxicity.EDITED if near else 0), form
 
 
+def test_misspelt_forms_of_a_beginning():
+    seen = [("stupi", True, 40, 0), ("stup", True, 40, 0), ("stupid", True, 40, 0), ("stupid", False, 14, 0), ("stupidity", False, 13, 0), ("stupidly", False, 13, 0), ("the", False, 40, 4000)]
+    terms = toxicity.choose_terms(seen, 50, 5000)
+    assert any(begins for _, begins in terms) and ("stupidity", False) in terms
+    trie = toxicity.FuzzyTrie(terms)
+    assert trie.match(["stupidness", "stpidity", "stupadly", "stopped", "xstupid"]).tolist() == [toxicity.BEGINS, toxicity.EDITED, toxicity.EDITED, 0, toxicity.EDITED]
+    many = [(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}word", False, 40, 0) for i in range(3000)]
+    assert len(toxicity.choose_terms(many, 50, 5000)) == 3000
+
+
+def test_logistic_scores_are_plain_python(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    lexicon, weights = toxicity.train(docs, labels)
+    got = {(r.doc_id): r for r in toxicity.score(docs, labels).collect()}
+    for i, t in rows(docs):
+        own = words(ascii_lower(t))
+        form = [w.strip(toxicity.MARKS) for w in own]
+        x = dict.fromkeys(toxicity.FEATURES, 0.0)
+        kinds = {f: int(k) for f, k in zip(form, lexicon.trie.match(form))}
+        hits = [j for j, f in enumerate(form) if kinds[f] and not (kinds[f] == toxicity.EDITED and f in lexicon.innocent)]
+        for j in hits:
+            near = list(range(max(0, j - toxicity.WINDOW), j)), list(range(j + 1, min(len(own), j + 1 + toxicity.WINDOW)))
+            names = {form[k] for k in near[0] + near[1]}
+            opened = own[j][:1] in toxicity.QUOTES or any(own[k][:1] in toxicity.QUOTES and own[k][-1:] not in toxicity.QUOTES for k in near[0])
+            closed = own[j].rstrip(".,;:!?")[-1:] in toxicity.QUOTES or any(own[k].rstrip(".,;:!?")[-1:] in toxicity.QUOTES for k in near[1])
+            quoted = (opened and closed) or bool(names & toxicity.REPORTING)
+            x["quoted" if quoted else toxicity.FEATURES[kinds[form[j]] - 1]] += 1
+            x["addressed"] += (not quoted) and bool(names & toxicity.ADDRESS)
+        x["density"] = 100 * (x["exact"] + x["begins"] + x["edited"] + x["quoted"]) / max(1, len(own))
+        z = sum(w * math.log1p(x[f]) for w, f in zip(weights, toxicity.FEATURES)) + weights[-1]
+        expected = 0.0 if z <= -30 else 1.0 if z >= 30 else 1 / (1 + math.exp(-z))
+        assert got[i].score == pytest.approx(expected) and got[i].predicted == (expected >= 0.5)
+
+
 def test_quotation_is_not_abuse():
     lexicon = toxicity.Lexicon([("idiot", False)])
     x = lexicon.features(pa.array(["you are an Idiot!", 'he wrote "idiot" on it', None, ""]))
@@ -399,6 +433,45 @@ def test_quality_measures(tables, name):
     assert kept.columns == tables[name].columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_posteriors_are_plain_python(docs):
+    """EM over the rules' votes, row by row and rule by rule."""
+    got = {r.doc_id: r for r in weak.judge(docs).collect()}
+    v = {}
+    for i, t in rows(docs):
+        batch = pa.record_batch([pa.array([t], pa.string())], ["t"])
+        v[i] = weak.votes(weak.measure(batch, 0))[0].tolist()
+    learnt = [v[i] for i in v if not got[i].base_failed]
+    good, bad = weak.PRIOR_GOOD, [[weak.BAD_IF_GOOD, weak.BAD_IF_BAD] for _ in range(weak.RULES)]
+
+    def chance(row):
+        like = [good, 1 - good]
+        for c in (0, 1):
+            for rule, vote in enumerate(row):
+                like[c] *= bad[rule][c] if vote < 0 else 1 - bad[rule][c] if vote > 0 else 1
+        return like[0] / (like[0] + like[1])
+
+    patterns = collections.Counter(map(tuple, learnt))
+    n = len(learnt)
+    for _ in range(weak.ROUNDS):
+        p = {row: chance(row) for row in patterns}
+        held = [weak.PRIOR_SHARE * n * weak.PRIOR_GOOD, weak.PRIOR_SHARE * n * (1 - weak.PRIOR_GOOD)]
+        following = []
+        for rule in range(weak.RULES):
+            pair = []
+            for c, believed in enumerate((weak.BAD_IF_GOOD, weak.BAD_IF_BAD)):
+                mine = [(row[rule], k * (p[row] if c == 0 else 1 - p[row])) for row, k in patterns.items()]
+                no = sum(x for vote, x in mine if vote < 0) + held[c] * believed
+                yes = sum(x for vote, x in mine if vote > 0) + held[c] * (1 - believed)
+                pair.append(no / (no + yes))
+            following.append(pair)
+        good = (sum(k * p[row] for row, k in patterns.items()) + held[0]) / (n + sum(held))
+        bad = following
+    for i, row in v.items():
+        if tuple(row) in patterns:
+            assert got[i].posterior == pytest.approx(chance(row), abs=1e-6)
+        assert got[i].kept == (not got[i].base_failed and got[i].posterior >= weak.THRESHOLD)
+
+
 def test_em_finds_planted_classes():
     rng = np.random.default_rng(5)
     good = rng.random(20_000) < 0.8

@@ -42,6 +42,45 @@ def test_recall(spark, block):
     assert hits >= 0.9 * 10 * 150
 
 
+def test_recall_of_the_query(spark):
+    """Production parameters on the table itself."""
+    from quarrywork.llm import queries
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.exists(d):
+        pytest.skip("no larger tables")
+    table = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    ids, vectors = np.array(list(table)), np.array(list(table.values()))
+    hits, asked = 0, 0
+    found = {}
+    for r in queries.QUERIES["op1_inverted_multi_index"](spark, d).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(found) == sorted(i for i in table if i % 20 == 0)
+    for at, i in enumerate(ids.tolist()):
+        if i % 20 == 0:
+            hits += len(found[i] & {j for j, _ in brute(vectors, ids, at, 20)})
+            asked += 20
+    assert hits >= 0.9 * asked
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in [0, 0, 0, 1, 2, 3, 4, 4]]
+    rows.append(rows[0])
+    got = imi.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, k=3).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.query_id, r.query_row), []).append((r.rank, r.vec_id, r.score))
+    own = [np.array(v) for i, v in rows[:3]]
+    others = [(i, np.array(v)) for i, v in rows if i != 0]
+    expected = sorted([(n + 1, i, pytest.approx(s)) for n, (s, i) in enumerate(sorted(((float(q @ v), i) for i, v in others), key=lambda x: (-x[0], x[1]))[:3])] for q in own)
+    assert len(by) == 3 and sorted(sorted(v) for v in by.values()) == expected
+
+
+def test_the_table_gives_the_number_of_centroids():
+    assert [imi.centroids_for(n) for n in (0, 1000, 50_000, 10**6, 10**8, 10**12)] == [64, 64, 64, 256, 1024, 1024]
+
+
 def test_cells_come_in_order():
     rng = np.random.default_rng(1)
     a, b, counts = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 3, (9, 7))
