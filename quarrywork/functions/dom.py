@@ -29,10 +29,11 @@ class Node:
 
     def walk(self) -> Iterator[Node]:
         """The elements inside, in page order."""
-        for kid in self.kids:
-            if isinstance(kid, Node):
-                yield kid
-                yield from kid.walk()
+        todo = self.elements()[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.elements()[::-1]
 
     def elements(self) -> list[Node]:
         return [k for k in self.kids if isinstance(k, Node)]
@@ -59,7 +60,15 @@ class Node:
         return self
 
     def raw(self) -> str:
-        return "".join(k if isinstance(k, str) else (" " + k.raw() + " ") if k.tag not in UNREAD else "" for k in self.kids)
+        out: list[str] = []
+        todo: list[Node | str] = self.kids[::-1]
+        while todo:
+            kid = todo.pop()
+            if isinstance(kid, str):
+                out.append(kid)
+            elif kid.tag not in UNREAD:
+                todo += [" ", *kid.kids[::-1], " "]
+        return "".join(out)
 
     def words(self) -> str:
         """All text on one line."""
@@ -136,25 +145,30 @@ def lines(text: str | None) -> str:
 def render(node: Node | None, base: str, skip: Callable[[Node], bool] = lambda n: False) -> str:
     """Text with links as markdown, list items behind dashes and blocks on lines of their own."""
 
-    def inner(at: Node) -> str:
-        out = ""
-        for kid in at.kids:
+    if node is None:
+        return ""
+    # an open element has its tag, address, and the text so far; what is closed goes into the one around it
+    open_nodes: list[tuple[Node, list[str], int]] = [(node, [], 0)]
+    while True:
+        at, out, n = open_nodes.pop()
+        if n < len(at.kids):
+            open_nodes.append((at, out, n + 1))
+            kid = at.kids[n]
             if isinstance(kid, str):
-                out += re.sub(r"\s+", " ", kid)
-                continue
-            if kid.tag in UNREAD or skip(kid):
-                continue
-            if kid.tag == "br":
-                out += "\n"
-            elif kid.tag == "a":
-                text, target = line(inner(kid)), kid.get("href")
-                out += f"[{text}]({urljoin(base, target)})" if text and target and not target.startswith(("#", "javascript:")) else text
-            elif kid.tag == "li":
-                out += "\n- " + inner(kid).strip()
-            elif kid.tag in BLOCKS:
-                out += "\n" + inner(kid) + "\n"
-            else:
-                out += inner(kid)
-        return out
-
-    return lines(inner(node)) if node is not None else ""
+                out.append(re.sub(r"\s+", " ", kid))
+            elif kid.tag == "br":
+                out.append("\n")
+            elif kid.tag not in UNREAD and not skip(kid):
+                open_nodes.append((kid, [], 0))
+            continue
+        text = "".join(out)
+        if not open_nodes:
+            return lines(text)
+        if at.tag == "a":
+            text, target = line(text), at.get("href")
+            text = f"[{text}]({urljoin(base, target)})" if text and target and not target.startswith(("#", "javascript:")) else text
+        elif at.tag == "li":
+            text = "\n- " + text.strip()
+        elif at.tag in BLOCKS:
+            text = "\n" + text + "\n"
+        open_nodes[-1][1].append(text)

@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
 
-
-def leaves(rows: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
+def leaves(rows: DataFrame, column: str) -> DataFrame:
     """Input columns but column, with path (keys and [positions] joined by dots) and value, one row per leaf.
 
-    Values nested deeper than depth come as JSON text. Text that isn't JSON gives no rows.
+    There are as many steps as the deepest value has levels: each asks first whether anything is nested deeper.
+    Text that isn't JSON gives no rows; empty objects and arrays are leaves without a value.
     """
     others = [c for c in rows.columns if c != column]
     level = rows.select(*others, F.lit("").alias("path"), F.try_parse_json(F.col(column)).alias("v")).filter("v IS NOT NULL")
     out = None
-    for n in range(depth + 1):
+    while True:
         kind = F.expr("schema_of_variant(v)")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        done = level.filter(~nested) if n < depth else level
-        texts = done.select(*others, "path", F.coalesce(F.expr("try_variant_get(v, '$', 'string')"), F.to_json("v")).alias("value"))
+        texts = level.filter(~nested).select(*others, "path", F.coalesce(F.expr("try_variant_get(v, '$', 'string')"), F.to_json("v")).alias("value"))
         out = texts if out is None else out.union(texts)
-        if n == depth:
-            break
+        if level.filter(nested).isEmpty():
+            return out
         exploded = level.filter(nested).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
         step = F.coalesce(F.col("key"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         level = exploded.select(*others, F.concat_ws(".", F.nullif("path", F.lit("")), step).alias("path"), F.col("value").alias("v"))
-    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.splitting import LIMIT, OVERLAP, WHOLE, chunks
 from ..functions.text import before, numbered
 
+#: A batch of texts to as many vectors.
+Model = Callable[[list[str]], list[list[float]]]
 OPTIONAL = ("url", "page", "topic", "content_role", "source_file", "section_number", "country")
 
 
@@ -33,10 +37,30 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(first).alias("parents"), F.count_if(first & F.col("is_split")).alias("split_parents"), F.count_if(first & ~F.col("is_split")).alias("whole_parents"), F.count("*").alias("chunks"))
 
 
-def embed(rows: DataFrame, text: str = "text", size: int = 256) -> DataFrame:
-    """embedding: a hashed bag of words of unit length. A stand-in for a model that needs no files."""
+def embed(rows: DataFrame, text: str = "text", size: int = 256, model: Model | None = None) -> DataFrame:
+    """embedding: what model makes of a batch of texts, of unit length; a null or empty text is the empty string.
+
+    Without a model, a hashed bag of words of size numbers, a stand-in that needs no files. model goes to the tasks as it
+    is, so it should load what it needs when it is first called. A result of another number of rows is an error.
+    """
     import numpy as np
 
+    if model is not None:
+
+        @F.pandas_udf("array<float>")
+        def modelled(texts: pd.Series) -> pd.Series:
+            out = []
+            for at in range(0, len(texts), 64):
+                part = texts.iloc[at : at + 64].fillna("").tolist()
+                made = np.asarray(model(part), np.float32)
+                if made.ndim != 2 or len(made) != len(part):
+                    raise ValueError(f"the model gave {made.shape} for {len(part)} texts")
+                length = np.linalg.norm(made, axis=1, keepdims=True)
+                out += (made / np.where(length > 0, length, 1)).tolist()
+            return pd.Series(out, index=texts.index)
+
+        return rows.withColumn("embedding", modelled(text))
+
     @F.pandas_udf("array<float>")
     def hashed(texts: pd.Series) -> pd.Series:
         from zlib import crc32

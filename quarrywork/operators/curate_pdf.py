@@ -112,9 +112,8 @@ def placed_lines(files: DataFrame, strict: bool = True) -> DataFrame:
     """Lines in their sections, in reading order, with broken phrases mended."""
     lines = lines_of(files)
     cut = regions(lines, strict).select("source_file", "page", "side", "section", "y_start", "y_end")
-    inside = joins.in_region(lines.withColumn("side", _column(F.col("x"))), cut, ["source_file", "page", "side"], "y", "y_start", "y_end", "section")
-    first = Window.partitionBy("source_file", "page", "nth").orderBy("section")
-    owned = inside.withColumn("_n", F.row_number().over(first)).filter("_n = 1 AND text <> ''")
+    inside = joins.in_region(lines.withColumn("side", _column(F.col("x"))), cut, ["source_file", "page", "side"], "y", "y_start", "y_end", "section", ["source_file", "page", "nth"])
+    owned = inside.filter("text <> ''")
 
     def mend(group):
         import pandas as pd

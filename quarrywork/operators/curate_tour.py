@@ -32,7 +32,7 @@ PAGE = (
     f" sections ARRAY<{_SECTION}>, registration_details STRUCT<title: STRING, subsections: ARRAY<STRUCT<title: STRING, content: STRING, items: ARRAY<STRUCT<label: STRING, content: STRING>>>>>,"
     " itineraries ARRAY<STRUCT<index: INT, title: STRING, description: STRING, image: STRUCT<url: STRING, alt: STRING>, source_component: STRING, slider_index: INT, slide_index: INT>>,"
     f" tabs ARRAY<STRUCT<title: STRING, content: STRING, sections: ARRAY<{_SECTION}>, accordions: ARRAY<{_FAQ}>, tables: ARRAY<{_TABLE}>, location_directory: STRUCT<locations: ARRAY<{_PLACE}>>>>,"
-    f" accordions ARRAY<{_FAQ}>, tables ARRAY<{_TABLE}>, images ARRAY<STRUCT<url: STRING, alt: STRING, nearby_heading: STRING, nearby_text: STRING>>"
+    f" accordions ARRAY<{_FAQ}>, tables ARRAY<{_TABLE}>, images ARRAY<STRUCT<url: STRING, alt: STRING, nearby_heading: STRING, nearby_text: STRING>>, links ARRAY<STRUCT<text: STRING, url: STRING>>"
 )
 
 clean = T.paragraphs
@@ -201,6 +201,6 @@ def curate(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     priority = F.coalesce(weights[F.col("content_type")], F.lit(0)) + F.when(F.col("page_id") != LANDING, 5).otherwise(0)
     best = dedup.best_by_priority(whole.withColumn("seq", F.struct("page_id", "branch", "item")), T.comparison(F.col("content")), priority, "seq")
     kind = F.to_json(F.struct("page_id", "page_type", "content_type", "asset_ids"))
-    metadata = F.when(F.col("extra") == "{}", kind).otherwise(F.concat(F.substring(kind, F.lit(1), F.length(kind) - 1), F.lit(","), F.substring("extra", 2, 1_000_000)))
+    metadata = F.when(F.col("extra") == "{}", kind).otherwise(F.concat(F.substring(kind, F.lit(1), F.length(kind) - 1), F.lit(","), F.expr("substring(extra, 2)")))
     docs = best.orderBy("position").select("doc_id", F.lit("Changi Airport").alias("source"), F.lit("web").alias("source_type"), "title", "heading_path", "content", "url", F.lit(None).cast("int").alias("page"), metadata.alias("metadata"))
     return docs, registry

@@ -309,6 +309,19 @@ def report(extracted: DataFrame) -> DataFrame:
     return extracted.select(F.col("id").alias("page_id"), F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status"), "error").orderBy("page_id")
 
 
+#: Counted parts of a page: the column of the count, and the list.
+PARTS = (
+    ("section_count", "sections"), ("registration_subsection_count", "registration_details.subsections"), ("itinerary_count", "itineraries"), ("tab_count", "tabs"), ("accordion_count", "accordions"),
+    ("table_count", "tables"), ("image_count", "images"), ("link_count", "links"), ("country_count", "country_list.countries"),
+)
+
+
+def extraction_summary(pages: DataFrame) -> DataFrame:
+    """(page_id, a count for each list that pages of this kind have); a list that isn't there counts 0."""
+    counts = [F.greatest(F.coalesce(F.size(part), F.lit(0)), F.lit(0)).alias(name) for name, part in PARTS if part.split(".")[0] in pages.columns]
+    return pages.select(F.col("id").alias("page_id"), *counts)
+
+
 def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total_count"), F.count_if(F.col("status") == "success").alias("successful_count"), F.count_if(F.col("status") == "failed").alias("failed_count"))
 

@@ -60,10 +60,10 @@ def evaluate(flights: DataFrame, sessions: DataFrame, requests: DataFrame, least
 # ---- tools: results with success and error, for callers that want an answer and no exception
 
 
-def lookup_tool(found: DataFrame, key: Column, message: str) -> DataFrame:
-    """(success, error, data) of lookups: data is a struct of the columns found, null where key is."""
-    data = F.struct(*found.columns)
-    return found.select(key.isNotNull().alias("success"), F.when(key.isNull(), F.lit(message)).alias("error"), F.when(key.isNotNull(), data).alias("data"))
+def lookup_tool(found: DataFrame, key: Column, message: str, asked: tuple[str, ...] = ()) -> DataFrame:
+    """(*asked, success, error, data) of lookups: asked names the columns of the question; data is a struct of the others, null where key is."""
+    data = F.struct(*(c for c in found.columns if c not in asked))
+    return found.select(*asked, key.isNotNull().alias("success"), F.when(key.isNull(), F.lit(message)).alias("error"), F.when(key.isNotNull(), data).alias("data"))
 
 
 def session_count(sessions: DataFrame, date: Column) -> DataFrame:

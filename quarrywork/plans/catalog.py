@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import times, urls, vectors
 from ..operators import chunking, dedup, joins, operations, requests, retrieval, sections
-from ..session import table
+from ..session import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,11 +39,16 @@ def _questions(spark: SparkSession) -> DataFrame:
 # ---- scans, filters, sorts
 
 
-@query("SELECT 'doc-' || doc_id AS doc_id, source, 'text' AS source_type, lang AS title, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::BIGINT AS n FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
+@query("SELECT 'doc-' || doc_id AS doc_id, source, 'text' AS source_type, lang AS title, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::BIGINT AS n, '{\"rank\":' || doc_id || '}' AS metadata FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
 def jsonl_canonical_load(spark, d):
-    body = F.regexp_replace("text", r"^\s+|\s+$", "")
-    rows = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), "source", F.lit("text").alias("source_type"), F.col("lang").alias("title"), body.alias("content"))
-    return rows.filter("content <> ''").select("doc_id", "source", "source_type", "title", F.char_length("content").cast("bigint").alias("n"))
+    """Documents written as JSONL files, and read as canonical documents."""
+    from ..sources import files
+
+    metadata = F.parse_json(F.to_json(F.struct(F.col("doc_id").alias("rank"))))
+    rows = table(spark, d, "documents").filter(T.strip(F.col("text")) != "").select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), "source", F.lit("text").alias("source_type"), F.col("lang").alias("title"), F.col("text").alias("content"), metadata.alias("metadata"))
+    folder = scratch(spark)
+    files.write_jsonl(rows, folder)
+    return files.canonical(spark, folder, "*.json").select("doc_id", "source", "source_type", "title", F.char_length("content").cast("bigint").alias("n"), "metadata")
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE upper(o_orderpriority) = upper('1-urgent') AND o_orderdate = TIMESTAMP '1995-06-17' AND upper(o_orderstatus) = 'O' ORDER BY o_orderkey LIMIT 1")
@@ -120,14 +125,53 @@ def fixture_eligibility(spark, d):
     return operations.evaluate(operational.flights(spark), operational.sessions(spark), asked).select("request_id", "session_code", "transit_hours", "eligible")
 
 
-@query("SELECT CAST(k AS BIGINT) AS o_orderkey, o_orderkey IS NOT NULL AS success, CASE WHEN o_orderkey IS NULL THEN 'Order not found.' END AS error, o_totalprice FROM (SELECT unnest([1, 5, 7, -1]) AS k) LEFT JOIN orders ON o_orderkey = k")
+@query("SELECT CAST(k AS BIGINT) AS k, o_orderkey IS NOT NULL AS success, CASE WHEN o_orderkey IS NULL THEN 'Order not found.' END AS error, o_orderkey, o_totalprice FROM (SELECT unnest([1, 5, 7, -1]) AS k) LEFT JOIN orders ON o_orderkey = k")
 def tool_lookup_envelope(spark, d):
     keys = spark.createDataFrame([(1,), (5,), (7,), (-1,)], "k bigint")
-    o = table(spark, d, "orders")
-    found = keys.join(o, F.col("k") == F.col("o_orderkey"), "left")
-    out = operations.lookup_tool(found, F.col("o_orderkey"), "Order not found.").withColumn("k", F.col("data.k"))
-    ids = found.select("k", F.col("o_orderkey").isNotNull().alias("success"), F.when(F.col("o_orderkey").isNull(), "Order not found.").alias("error"), "o_totalprice")
-    return ids.withColumnRenamed("k", "o_orderkey") if out.columns else ids
+    found = keys.join(table(spark, d, "orders"), F.col("k") == F.col("o_orderkey"), "left")
+    answers = operations.lookup_tool(found, F.col("o_orderkey"), "Order not found.", ("k",))
+    return answers.select("k", "success", "error", "data.o_orderkey", "data.o_totalprice")
+
+
+_FLIGHTS = """f(id, n, way, t, terminal) AS (VALUES (1, 'SQ12', 'ARRIVAL', TIMESTAMP '2026-08-20 07:45:00', 'T3'), (2, 'SQ318', 'DEPARTURE', TIMESTAMP '2026-08-20 21:00:00', 'T3'), (3, 'TR101', 'ARRIVAL', TIMESTAMP '2026-08-20 11:30:00', 'T1'), (4, 'TR201', 'DEPARTURE', TIMESTAMP '2026-08-20 15:30:00', 'T1'),
+  (5, 'AI101', 'ARRIVAL', TIMESTAMP '2026-08-20 09:00:00', 'T2'), (6, 'AI202', 'DEPARTURE', TIMESTAMP '2026-08-21 10:00:00', 'T2'), (7, 'CX101', 'ARRIVAL', TIMESTAMP '2026-08-20 06:00:00', 'T4'), (8, 'CX202', 'DEPARTURE', TIMESTAMP '2026-08-20 11:30:00', 'T4'))"""
+_ASKED = [("sq12", "2026-08-20"), ("SQ318", "2026-08-20"), ("SQ12", "2026-08-21"), ("zz9", "2026-08-20")]
+_TRIPS = [("SQ12", "2026-08-20", "SQ318", "2026-08-20"), ("tr101", "2026-08-20", "TR201", "2026-08-20"), ("AI101", "2026-08-20", "AI202", "2026-08-21"), ("CX101", "2026-08-20", "CX202", "2026-08-20"), ("SQ12", "2026-08-20", "CX202", "2026-08-19"), ("none", "2026-08-20", "SQ318", "2026-08-20"), ("AI101", "2026-08-20", "AI202", "2026-08-20"), ("TR101", "2026-08-20", "CX202", "2026-08-20")]
+
+
+def _tool_tables(spark):
+    from ..sources import operational
+    from . import tools
+
+    tools.register(spark, operational.flights(spark), operational.sessions(spark))
+
+
+@query(f"""WITH {_FLIGHTS}, q(number, day) AS (VALUES {", ".join(f"('{n}', DATE '{day}')" for n, day in _ASKED)})
+SELECT q.number, CAST(q.day AS VARCHAR) AS day, f.id IS NOT NULL AS success, CASE WHEN f.id IS NULL THEN 'Flight not found.' END AS error, f.way AS direction, strftime(f.t, '%Y-%m-%d %H:%M:%S') AS "at", f.terminal
+FROM q LEFT JOIN f ON upper(f.n) = upper(q.number) AND f.t::DATE = q.day""")
+def flight_lookup_tool(spark, d):
+    _tool_tables(spark)
+    spark.createDataFrame(_ASKED, "number string, day string").createOrReplaceTempView("flight_questions")
+    return spark.sql("SELECT q.number, q.day, t.success, t.error, t.direction, date_format(t.at, 'yyyy-MM-dd HH:mm:ss') AS at, t.terminal FROM flight_questions q, LATERAL lookup_flight(q.number, CAST(q.day AS DATE)) t")
+
+
+@query(f"""WITH {_FLIGHTS}, q(a, x, b, y) AS (VALUES {", ".join(f"('{a}', DATE '{x}', '{b}', DATE '{y}')" for a, x, b, y in _TRIPS)}),
+j AS (SELECT q.*, f.t AS arrives, g.t AS leaves FROM q LEFT JOIN f ON upper(f.n) = upper(q.a) AND f.t::DATE = q.x AND f.way = 'ARRIVAL' LEFT JOIN f g ON upper(g.n) = upper(q.b) AND g.t::DATE = q.y AND g.way = 'DEPARTURE'),
+h AS (SELECT *, CASE WHEN leaves >= arrives THEN round(epoch(leaves - arrives) / 3600.0, 2) END AS hours FROM j)
+SELECT a, CAST(x AS VARCHAR) AS x, b, CAST(y AS VARCHAR) AS y, hours, hours IS NOT NULL AS success, hours BETWEEN 5.5 AND 24 AS eligible,
+  CASE WHEN arrives IS NULL THEN 'Arrival flight not found.' WHEN leaves IS NULL THEN 'Departure flight not found.' WHEN leaves < arrives THEN 'Departure occurs before arrival.' END AS error FROM h""")
+def transit_tool(spark, d):
+    _tool_tables(spark)
+    spark.createDataFrame(_TRIPS, "a string, x string, b string, y string").createOrReplaceTempView("transit_questions")
+    return spark.sql("SELECT q.*, t.transit_hours AS hours, t.success, t.eligible, t.error FROM transit_questions q, LATERAL check_transit_eligibility(q.a, CAST(q.x AS DATE), q.b, CAST(q.y AS DATE)) t")
+
+
+@query("SELECT * FROM (VALUES ('2026-08-20', '2026-08-20T10:00', 7::BIGINT, 33::BIGINT - 2), ('2026-08-21', NULL, 0, NULL)) v(day, first, sessions, slots)")
+def session_listing_tool(spark, d):
+    _tool_tables(spark)
+    spark.createDataFrame([("2026-08-20",), ("2026-08-21",)], "day string").createOrReplaceTempView("session_days")
+    rows = spark.sql("SELECT q.day, t.* FROM session_days q LEFT JOIN LATERAL list_fst_sessions(CAST(q.day AS DATE)) t")
+    return rows.groupBy("day").agg(F.date_format(F.min("start_datetime"), "yyyy-MM-dd'T'HH:mm").alias("first"), F.count("session_code").alias("sessions"), F.sum("remaining_slots").alias("slots"))
 
 
 # ---- retrieval
@@ -155,9 +199,7 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 def _bm25(spark, d):
-    docs = table(spark, d, "documents")
-    index = retrieval.postings(docs, "doc_id", "text")
-    found = retrieval.bm25(index, *retrieval.statistics(docs, "doc_id", index), _questions(spark), k=60).drop("rank")
+    found = retrieval.search_words(table(spark, d, "documents"), "doc_id", "text", _questions(spark), k=60).drop("rank")
     return retrieval.top_k(found, 20, F.round("score", 9).desc(), "doc")
 
 
@@ -166,14 +208,14 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).select("query_id", F.col("doc").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
-_VEC = """near AS (SELECT q.vec_id + 1 AS query_id, e.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
-  FROM embeddings q, embeddings e WHERE q.vec_id < 3),
+_VEC = """near AS (SELECT q.vec_id // 20 + 1 AS query_id, e.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS rank FROM near QUALIFY rank <= 20)"""
 
 
 def _nearest(spark, d):
     e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id < 3").select((F.col("vec_id") + 1).alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = e.filter("vec_id % 20 = 0").select(F.expr("vec_id div 20 + 1").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = retrieval.nearest(e, "vec_id", "embedding", asked, k=60).drop("rank")
     return retrieval.top_k(found, 20, F.round("distance", 9), "doc")
 
@@ -231,10 +273,10 @@ def evidence_threshold_expand_cite(spark, d):
     return retrieval.expand(_reranked(spark, d), parents).select("query_id", "parent", "citation", "n")
 
 
-@query("SELECT doc_id, upper(CASE lang WHEN 'en' THEN 'visa' WHEN 'de' THEN 'fst' WHEN 'fr' THEN 'customs' ELSE lang END) || row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS citation FROM documents")
+@query("SELECT doc_id, upper(CASE lang WHEN 'en' THEN 'visa' WHEN 'de' THEN 'fst' WHEN 'fr' THEN 'customs' ELSE lang END) || row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS citation FROM documents")
 def topic_citation_numbering(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("lang", "topic")
-    return retrieval.topic_citations(docs, {"en": "VISA", "de": "FST", "fr": "CUSTOMS"}, "source", "doc_id").select("doc_id", "citation")
+    return retrieval.topic_citations(docs, {"en": "VISA", "de": "FST", "fr": "CUSTOMS"}, "doc_id", request=("source",)).select("doc_id", "citation")
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS length, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
@@ -261,8 +303,8 @@ _STRIP = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 @query(f"SELECT 'd' || doc_id || '::child-000' AS chunk_id, 'd' || doc_id AS parent_doc_id, 0::BIGINT AS chunk_index, 1::BIGINT AS chunk_count, false AS is_split, 'All > title ' || lang || chr(10) || chr(10) || {_STRIP} AS text FROM documents WHERE length({_STRIP}) <= 1200")
 def chunk_metadata(spark, d):
-    docs = _canonical(spark, d).filter(F.char_length(T.strip(F.col("content"))) <= 1200)
-    rows = chunking.children(docs)
+    """Chunks of all documents, of which those that are whole have SQL; chunk_parents has the others."""
+    rows = chunking.children(_canonical(spark, d)).filter("NOT is_split")
     return rows.select("chunk_id", "parent_doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("chunk_count").cast("bigint").alias("chunk_count"), "is_split", "text")
 
 
@@ -282,10 +324,9 @@ def dedup_normalized_priority(spark, d):
     return dedup.best_by_priority(table(spark, d, "documents"), key, F.when(F.col("lang") == "en", 2).otherwise(1), "doc_id").select("doc_id", "position")
 
 
-@query("SELECT conv_id, turn FROM conversations c WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT substr(text, 1, 40) AS b FROM benchmark WHERE text <> '') WHERE text = b OR (length(b) >= 35 AND contains(text, b)) OR (length(text) >= 35 AND contains(b, text)))")
+@query("SELECT doc_id FROM documents WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM benchmark WHERE benchmark.text <> '' AND (documents.text = benchmark.text OR (length(benchmark.text) >= 35 AND contains(documents.text, benchmark.text)) OR (length(documents.text) >= 35 AND contains(benchmark.text, documents.text))))")
 def coverage_anti_join(spark, d):
-    passages = table(spark, d, "benchmark").select(F.substring("text", 1, 40).alias("b"))
-    return dedup.uncovered(table(spark, d, "conversations"), "text", passages, "b").select("conv_id", "turn")
+    return dedup.uncovered(table(spark, d, "documents").select("doc_id", "text"), "text", table(spark, d, "benchmark").select(F.col("text").alias("b")), "b").select("doc_id")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
@@ -326,14 +367,24 @@ def set_difference(spark, d):
 # ---- joins
 
 
-@query("""WITH a AS (SELECT user_id, ts AS s, COALESCE(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), TIMESTAMP '2100-01-01') AS e, event_id AS region FROM events WHERE event_type = 'signup')
-SELECT x.event_id, a.region FROM events x JOIN a ON x.user_id = a.user_id AND x.ts >= a.s AND x.ts < a.e WHERE x.event_type <> 'signup'""")
+@query("""WITH a AS (SELECT user_id, ts AS s, COALESCE(lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '2100-01-01') AS e, event_id AS region FROM events WHERE event_type = 'signup')
+SELECT x.event_id, min(a.region) AS region FROM events x JOIN a ON x.user_id = a.user_id AND x.ts >= a.s AND x.ts < a.e WHERE x.event_type <> 'signup' GROUP BY 1""")
 def range_region_assign(spark, d):
+    """Regions reach to the anchor after the next, so most points are in two; the first by id has them."""
     e = table(spark, d, "events")
     anchors = e.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("region_start"), F.col("event_id").alias("region"))
-    regions = joins.next_boundary(anchors, ["user_id"], "region_start", F.lit("2100-01-01").cast("timestamp_ntz"))
+    following = F.lead("region_start", 2).over(Window.partitionBy("user_id").orderBy("region_start", "region"))
+    regions = anchors.withColumn("region_end", F.coalesce(following, F.lit("2100-01-01").cast("timestamp_ntz")))
     points = e.filter("event_type <> 'signup'").select("event_id", "user_id", "ts")
-    return joins.in_region(points, regions, ["user_id"], "ts", "region_start", "region_end", "region").select("event_id", "region")
+    return joins.in_region(points, regions, ["user_id"], "ts", "region_start", "region_end", "region", ["event_id"]).select("event_id", "region")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, ts, COALESCE(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), TIMESTAMP '2100-01-01') AS region_end FROM events WHERE event_type = 'signup')
+SELECT event_id, user_id, strftime(region_end, '%Y-%m-%d %H:%M:%S') AS region_end FROM a""")
+def next_anchor(spark, d):
+    anchors = table(spark, d, "events").filter("event_type = 'signup'").select("user_id", "ts", "event_id")
+    regions = joins.next_boundary(anchors, ["user_id"], "ts", F.lit("2100-01-01").cast("timestamp_ntz"))
+    return regions.select("event_id", "user_id", F.date_format("region_end", "yyyy-MM-dd HH:mm:ss").alias("region_end"))
 
 
 _RECTS = "SELECT p_partkey AS id, p_brand, p_partkey % 50 AS x0, p_partkey % 50 + p_size AS x1, p_partkey % 37 AS y0, p_partkey % 37 + 4 AS y1 FROM part"
@@ -346,17 +397,17 @@ def spatial_intersect(spark, d):
     return joins.rectangles_meet(r, r, ["p_brand"]).filter("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-@query("SELECT COALESCE(d.doc_id, l.doc_id) AS doc_id, COALESCE(NULLIF(CASE WHEN l.quality = 1 THEN 'good' ELSE '' END, ''), d.lang) AS note, d.n_chars FROM (SELECT * FROM documents WHERE doc_id % 3 > 0) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT COALESCE(p.page_id, l.doc_id) AS id, COALESCE(NULLIF(CASE WHEN l.quality = 1 THEN 'good' ELSE '' END, ''), p.url) AS note, length(p.html)::BIGINT AS n FROM pages p FULL OUTER JOIN labels l ON p.page_id = l.doc_id")
 def asset_full_outer_merge(spark, d):
-    left = table(spark, d, "documents").filter("doc_id % 3 > 0").select("doc_id", F.col("lang").alias("note"), "n_chars")
-    right = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("").alias("note"))
-    return joins.merged(left, right, "doc_id", ["note"])
+    left = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("note"), F.char_length("html").cast("bigint").alias("n"))
+    right = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").otherwise("").alias("note"))
+    return joins.merged(left, right, "id", ["note"])
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON d.text <> '' AND b.text <> '' AND (contains(d.text, b.text) OR contains(b.text, d.text))")
 def substring_theta_join(spark, d):
     docs, passages = table(spark, d, "documents").select("doc_id", F.col("text").alias("body")), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return joins.containing(passages, "passage", docs, "body").select("doc_id", "item_id")
+    return joins.holding_each_other(docs, "body", passages, "passage").select("doc_id", "item_id")
 
 
 @query("""WITH u AS (SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') AS us, list(text ORDER BY turn) FILTER (role = 'assistant') AS an FROM conversations GROUP BY 1)
@@ -441,10 +492,10 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, COALESCE(NULLIF(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS dashed, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS underscored FROM documents")
+@query("SELECT doc_id, COALESCE(NULLIF(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS dashed, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS underscored FROM documents")
 def slugify(spark, d):
-    start = F.substring("text", 1, 60)
-    return table(spark, d, "documents").select("doc_id", T.slug(start, "-", "section").alias("dashed"), T.slug(start, "_").alias("underscored"))
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.slug(text, "-", "section").alias("dashed"), T.slug(text, "_").alias("underscored"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS key FROM pages")
@@ -484,45 +535,66 @@ def json_metadata_walk(spark, d):
     return leaves(table(spark, d, "events").select("event_id", "props"), "props")
 
 
-@query("""SELECT r_name, '| name | key' || chr(10) AS head, string_agg(n_name || ' | ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS body FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
+@query("""SELECT r_name, 'name | key' || chr(10) || '--- | ---' || chr(10) || string_agg(n_name || ' | ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS body FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
 def table_to_markdown(spark, d):
     joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_name"], r["n_nationkey"].cast("string")))
     grouped = joined.groupBy("r_name").agg(rows.alias("rows"))
-    return grouped.select("r_name", F.lit("| name | key\n").alias("head"), T.table_markdown(F.array().cast("array<string>"), F.col("rows")).alias("body"))
+    return grouped.select("r_name", T.table_markdown(F.array(F.lit("name"), F.lit("key")), F.col("rows")).alias("body"))
 
 
 # ---- plans of requests
 
 
-_PLANS = [(1, "india", "sq 12", "2026-08-20", "SQ318", "2026-08-20", False, False, False, True, []), (2, None, "", "2026-13-01", None, None, False, False, True, False, ["passport_country"]), (3, None, None, None, "tr201", "2026-08-20", False, True, False, False, ["arrival_date"]), (4, "x", None, None, None, None, False, False, False, False, [])]
+_PLANS = [(1, "india", "sq 12", "2026-08-20", "SQ318", "2026-08-20", False, False, False, True, []), (2, None, "", "2026-13-01", None, None, False, False, True, False, ["passport_country"]), (3, None, None, None, "tr201", "2026-08-20", False, True, False, False, ["arrival_date"]), (4, "x", None, None, None, None, False, False, False, False, []), (5, None, "ai 1 01", "2026-08-20", "AI202", "2026-02-30", True, True, False, False, ["departure_date", "some_other"])]
+
+
+def _sql(x) -> str:
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"[{', '.join(map(_sql, x))}]::VARCHAR[]" if isinstance(x, list) else f"'{x}'" if isinstance(x, str) else f"{x}::BIGINT"
+
+
+_NORMAL = f"""v(id, country, a_flight, a_date, d_flight, d_date, a, d, transit, tours, missing) AS (VALUES {", ".join("(" + ", ".join(map(_sql, p)) + ")" for p in _PLANS)}),
+n AS (SELECT id, NULLIF(upper(replace(a_flight, ' ', '')), '') AS a_flight, CAST(TRY_CAST(a_date AS DATE) AS VARCHAR) AS a_date, NULLIF(upper(replace(d_flight, ' ', '')), '') AS d_flight, CAST(TRY_CAST(d_date AS DATE) AS VARCHAR) AS d_date, a OR transit OR tours AS a, d OR transit OR tours AS d, transit OR tours AS transit, tours, missing FROM v),
+g AS (SELECT *, list_concat(missing, list_filter([CASE WHEN a AND a_flight IS NULL THEN 'arrival_flight' END, CASE WHEN a AND a_date IS NULL THEN 'arrival_date' END, CASE WHEN d AND d_flight IS NULL THEN 'departure_flight' END, CASE WHEN d AND d_date IS NULL THEN 'departure_date' END], lambda x: x IS NOT NULL)) AS gaps FROM n),
+u AS (SELECT *, list_filter(gaps, lambda x, i: list_position(gaps, x) = i) AS fields FROM g)"""
 
 
 def _plans(spark):
     return requests.with_missing(requests.with_dependencies(requests.normalised(spark.createDataFrame(_PLANS, requests.PLAN))))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'SQ12', '2026-08-20', true, true, true, true), (2, NULL, NULL, true, true, true, false), (3, NULL, NULL, false, true, false, false), (4, NULL, NULL, false, false, false, false)) v(request_id, arrival_flight, arrival_date, arrival, departure, transit, tours)")
+@query(f"WITH {_NORMAL} SELECT id AS request_id, a_flight AS arrival_flight, a_date AS arrival_date, a AS arrival, d AS departure, transit, tours FROM u")
 def plan_dependencies(spark, d):
     names = dict(zip(requests.FLAGS, ("arrival", "departure", "transit", "tours")))
     return _plans(spark).select("request_id", "arrival_flight", "arrival_date", *[F.col(a).alias(b) for a, b in names.items()])
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '', ''), (2, 'passport_country,arrival_flight,arrival_date,departure_flight,departure_date', '- passport / nationality\n- arrival flight number\n- arrival date\n- departure flight number\n- departure date'), (3, 'arrival_date', '- arrival date'), (4, '', '')) v(request_id, missing, prompt)")
+_LABELS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in requests.LABELS.items()) + "}"
+
+
+@query(f"WITH {_NORMAL} SELECT id AS request_id, array_to_string(fields, ',') AS missing, array_to_string(list_transform(fields, lambda f: '- ' || COALESCE({_LABELS}[f], replace(f, '_', ' '))), chr(10)) AS prompt FROM u")
 def missing_fields(spark, d):
     return _plans(spark).select("request_id", F.array_join("missing_fields", ",").alias("missing"), requests.missing_text(F.col("missing_fields")).alias("prompt"))
 
 
-@query("SELECT conv_id AS request_id, turn AS pos, role AS topic, q AS query FROM (SELECT *, trim(regexp_replace(substr(text, 1, 8), '\\s+', ' ', 'g')) AS q FROM conversations) WHERE q <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role, lower(q) ORDER BY turn) = 1")
+@query("SELECT conv_id AS request_id, turn AS pos, role AS topic, q AS query FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations) WHERE q <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, role, lower(q) ORDER BY turn) = 1")
 def request_dedup(spark, d):
-    asked = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("pos"), F.col("role").alias("topic"), F.substring("text", 1, 8).alias("query"))
+    asked = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("pos"), F.col("role").alias("topic"), F.col("text").alias("query"))
     return requests.distinct_questions(asked)
 
 
 # ---- HTML
 
 
-@query()
+_GONE = "replace(html, chr(10), ' ')"
+for _tag in ("script", "style", "title", "nav", "footer", "header"):
+    _GONE = f"regexp_replace({_GONE}, '(?s)<{_tag}\\b[^>]*>.*?(</{_tag}>|$)', '', 'g')"
+_GONE = f"regexp_replace(regexp_replace(regexp_replace({_GONE}, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '</?(p|div|ul|ol|h[1-6]|tr|table|section|article|br)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("nbsp", "\u00a0"), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")):
+    _GONE = f"replace({_GONE}, '&{_name};', '{_char}')"
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_GONE}, chr(10)), lambda x: trim(regexp_replace(x, '[\\s\u00a0]+', ' ', 'g'))), lambda x: x NOT IN ('', '-')), chr(10)) AS text FROM pages")
 def html_to_text(spark, d):
     from ..functions.html import page_text
 
@@ -537,9 +609,16 @@ def html_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["url"]))), " ").alias("urls"))
 
 
-@query()
+@query("""SELECT r_name, 'Nations of ' || r_name AS caption, 'nation|key' AS headers, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS row, n_name || '|' || n_nationkey AS cells FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def html_tables(spark, d):
+    """Tables written as HTML, and read again."""
     from ..functions.html import page_tables
 
-    wrapped = F.concat(F.lit("<table><tr><th>id</th><th>url</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), F.col("url"), F.lit("</td></tr></table>"), F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.explode(page_tables(wrapped)).alias("t")).select("page_id", F.size("t.headers").alias("headers"), F.size("t.rows").alias("rows"))
+    cell = lambda kind, x: F.concat(F.lit(f"<{kind}> "), x, F.lit(f"\n</{kind}>"))
+    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.concat(F.lit("<tr>"), cell("td", r["n_name"]), cell("td", r["n_nationkey"].cast("string")), F.lit("</tr>")))
+    head = F.concat(F.lit("<p>before</p><table class=x><caption>Nations of <b>"), "r_name", F.lit("</b></caption><tr><th>nation</th><th>key</th></tr>"))
+    pages = joined.groupBy("r_name").agg(rows.alias("rows")).select("r_name", F.concat(head, F.array_join("rows", ""), F.lit("</table> after")).alias("html"))
+    found = pages.select("r_name", F.explode(page_tables(F.col("html"))).alias("t"))
+    listed = found.select("r_name", "t.caption", F.array_join("t.headers", "|").alias("headers"), F.posexplode("t.rows").alias("row", "cells")).filter("row > 0")
+    return listed.select("r_name", "caption", "headers", F.col("row").cast("bigint").alias("row"), F.array_join("cells", "|").alias("cells"))

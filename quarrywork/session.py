@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,26 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or for local[...] a temporary one. It goes when the process ends."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/quarrywork-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception as ended:  # the session may have ended before the interpreter
+            print(f"quarrywork: {path} stays: {type(ended).__name__}")
+
+    atexit.register(gone)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

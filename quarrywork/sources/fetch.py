@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -16,9 +16,25 @@ from ..operators.dedup import last_seen
 
 #: Tries, and seconds to wait after the nth for each n.
 TRIES, BACKOFF = 3, 2.0
+#: The pages to start from, and what a link must hold to be followed.
+_TOURS = "https://www.changiairport.com/en/experience/tours/free-singapore-tour"
+TOUR_PAGES = (
+    ("free_sg_tour", "Free Singapore Tour", "tour", f"{_TOURS}.html"),
+    ("sentosa_discovery_tour", "Sentosa Discovery Tour", "tour", f"{_TOURS}/sentosa-discovery-tour.html"),
+    ("city_sights_tour", "City Sights Tour", "tour", f"{_TOURS}/city-sight-tour.html"),
+    ("singapore_river_and_marina_bay_sands", "Singapore River and Marina Bay Sands", "tour", f"{_TOURS}/singapore-river-mbs.html"),
+    ("heritage_and_culture_tour", "Heritage And Culture Tour", "tour", f"{_TOURS}/heritage-and-culture-tour.html"),
+)
+VISA_PAGES = (("ica_visa_requirements", "ICA Visa Requirements", "visa_index", "https://www.ica.gov.sg/enter-transit-depart/entering-singapore/visa_requirements"),)
+VISA_LINKS = ("/enter-transit-depart/entering-singapore/visa_requirements/visa-detail-page/",)
 ROWS = "page_id string, url string, http_status int, fetch_status string, error string, html string"
 
 
+def configured(spark: SparkSession, pages: tuple[tuple[str, str, str, str], ...]) -> DataFrame:
+    """(page_id, name, page_type, url) of pages to start from."""
+    return spark.createDataFrame(list(pages), "page_id string, name string, page_type string, url string")
+
+
 def children(pages: DataFrame, hosts: list[str], contains: list[str]) -> DataFrame:
     """(page_id, url, discovered_from, link_text): allowed links of fetched pages (url, html), the last of each address, by page_id."""
     links = pages.select(F.col("url").alias("discovered_from"), F.posexplode(page_links(F.col("html"), F.col("url"))).alias("at", "l"))

@@ -10,20 +10,33 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import strip
 
 
+def numbered_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(value, file, line): the lines of text files with their numbers from 1.
+
+    A file's splits are counted and summed up, so a large file is read in parallel; nothing but one row a split is put in order.
+    """
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return raw.join(placed, ["file", "block"]).select("value", "file", (F.col("offset") + F.col("id") - F.col("first") + 1).alias("line"))
+
+
 def canonical(spark: SparkSession, folder: str, pattern: str = "*_documents.jsonl") -> DataFrame:
-    """Canonical documents in order of file name; a line that isn't one, or has no content or no id, is an error that names its file."""
-    raw = spark.read.option("pathGlobFilter", pattern).text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    parsed = raw.filter(strip(F.col("value")) != "").withColumn("d", F.from_json("value", schemas.CANONICAL.replace("metadata STRING", "metadata STRING"), {"mode": "PERMISSIVE"}))
+    """Canonical documents in order of file name and line; a line that isn't one, or has no content or no id, is an error that names its file and line."""
+    raw = numbered_lines(spark, folder, pattern)
+    parsed = raw.filter(strip(F.col("value")) != "").withColumn("d", F.from_json("value", schemas.CANONICAL, {"mode": "PERMISSIVE"}))
     sound = F.col("d.doc_id").isNotNull() & (strip(F.coalesce("d.content", F.lit(""))) != "")
-    checked = parsed.withColumn("ok", F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("Not a canonical document, in "), "file", F.lit(": "), F.substring("value", 1, 80)))))
-    return checked.filter("ok").orderBy("file").select("d.*").withColumn("content", strip(F.col("content")))
+    message = F.concat(F.lit("Not a canonical document, in "), "file", F.lit(", line "), F.col("line").cast("string"), F.lit(": "), F.substring("value", 1, 80))
+    checked = parsed.withColumn("ok", F.when(sound, F.lit(True)).otherwise(F.raise_error(message)))
+    return checked.filter("ok").orderBy("file", "line").select("d.*").withColumn("content", strip(F.col("content")))
 
 
 def unique(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -46,7 +59,7 @@ def processed(spark: SparkSession, folder: str, schema: str, kinds: tuple[str, .
 
 def html_files(spark: SparkSession, folder: str, pattern: str = "*.html") -> DataFrame:
     """(page_id, path, html)"""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return raw.select(F.regexp_extract("_metadata.file_name", r"^(.*?)\.[^.]*$", 1).alias("page_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
@@ -54,7 +67,11 @@ MANIFEST_PAGE = "page_id STRING, url STRING, html_path STRING, http_status INT,
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The pages of a fetch manifest; none where there is no file."""
+    """The pages of a fetch manifest: of one file with all pages, or of a folder as write_manifest() leaves it; none where there is neither."""
+    try:
+        return spark.read.schema(MANIFEST_PAGE).json(f"{path}/pages")
+    except AnalysisException:
+        pass
     try:
         return spark.read.schema(f"pages ARRAY<STRUCT<{MANIFEST_PAGE.replace(' ', ': ').replace(',: ', ', ')}>>").option("multiLine", True).json(path).select(F.explode("pages").alias("p")).select("p.*")
     except AnalysisException:
@@ -210,10 +227,29 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(pages: DataFrame, path: str, source: str, dataset: str) -> None:
-    """A fetch manifest: one record with counts and the pages."""
+    """A fetch manifest: the pages in order, one JSON object a line, in path/pages, and one record with counts in path/summary."""
     columns = [c.split()[0] for c in MANIFEST_PAGE.split(", ")]
-    whole = pages.agg(
+    pages.select(*columns).orderBy(*columns).write.mode("overwrite").json(f"{path}/pages")
+    good = F.coalesce(F.col("fetch_status") == "success", F.lit(False))
+    counts = pages.agg(
         F.lit(source).alias("source"), F.lit(dataset).alias("dataset"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("completed_at"), F.count("*").alias("total_count"),
-        F.count_if(F.col("fetch_status") == "success").alias("successful_count"), F.count_if(F.col("fetch_status") != "success").alias("failed_count"), F.sort_array(F.collect_list(F.struct(*columns))).alias("pages"),
+        F.count_if(good).alias("successful_count"), F.count_if(~good).alias("failed_count"),
     )
-    whole.coalesce(1).write.mode("overwrite").json(path)
+    counts.write.mode("overwrite").json(f"{path}/summary")  # one row
+
+
+def land_pages(fetched: DataFrame, path: str) -> None:
+    """Raw pages (page_id, url, html, ...) that were fetched: path/html has a folder a page with its html as it is, path/metadata the other columns and when they were collected.
+
+    The html is there whole or not at all: a file gets its name when its task has ended, and _SUCCESS is there when all have.
+    """
+    good = fetched.filter(F.col("html").isNotNull())
+    good.select("page_id", F.col("html").alias("value")).write.mode("overwrite").option("lineSep", "\0").partitionBy("page_id").text(f"{path}/html")
+    others = [c for c in fetched.columns if c != "html"]
+    fetched.select(*others, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("collected_at")).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, html) of pages that land_pages() has written."""
+    html = spark.read.text(f"{path}/html", wholetext=True).select(F.col("page_id").cast("string").alias("page_id"), F.regexp_replace("value", "\0$", "").alias("html"))
+    return html.join(spark.read.json(f"{path}/metadata").select(F.col("page_id").cast("string").alias("page_id"), "url"), "page_id").select("page_id", "url", "html")
