@@ -51,7 +51,7 @@ ORDER = 5
 LOW = 2
 HEAD_WORDS, HEAD_RUNS = 200_000, 1 << 20
 #: Symbols that are coded at a time; distinct runs that a task holds; runs that are priced at a time.
-PIECE, HELD, GROUP = 1 << 21, 3_000_000, 200_000
+PIECE, HELD, GROUP = 1 << 20, 2_000_000, 200_000
 SPACE, END = 0x20, 0xFF
 #: Symbols: the bytes but for A-Z, ASCII white space and the end's own, and the space and the end.
 ALPHABET = 225

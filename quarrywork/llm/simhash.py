@@ -206,14 +206,34 @@ def tables(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
     return [sum(chosen) for chosen in combinations(masks, blocks - radius)]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def _signed_mask(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def further(mask: int, radius: int = RADIUS) -> list[int]:
+    """The bits that a mask leaves out, in radius + 1 parts: two fingerprints within radius agree in one of these at least."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    edges = [round(i * len(rest) / (radius + 1)) for i in range(radius + 2)]
+    return [sum(1 << i for i in rest[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+
+
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK, scope: str = "session") -> DataFrame:
     """(a, b): links between distinct fingerprints that connect what all pairs within radius connect. prints: distinct fp."""
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in tables(blocks, radius)]
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)])).alias("k"))
-    keyed = keyed.select("fp", F.xxhash64("k.t", "k.part").alias("key"))
-    crowded = keyed.groupBy("key").count().filter(F.col("count") > 1)
-    entries = keyed.join(crowded, "key")
-    # a bucket above chunk is dealt out as pairs (x, y), x <= y, of its chunks
+    masks = tables(blocks, radius)
+    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed_mask(m))).alias("part")) for i, m in enumerate(masks)])).alias("k"))
+    keyed = keyed.select("fp", "k.t", F.xxhash64("k.t", "k.part").alias("key"))
+
+    def counted(entries: DataFrame) -> DataFrame:
+        # written, so that the join shuffles both sides and a crowded bucket can be split
+        return entries.join(saved(entries.groupBy("key").count().filter(F.col("count") > 1), scope), "key")
+
+    entries = counted(keyed)
+    # a bucket above chunk is keyed once more, by a part of the bits that its table leaves out
+    parts = F.element_at(F.array(*[F.array(*[F.lit(_signed_mask(x)) for x in further(m, radius)]) for m in masks]), F.col("t") + 1)
+    finer = entries.filter(F.col("count") > chunk).select("fp", "key", F.posexplode(parts).alias("s", "mask"))
+    finer = counted(finer.select("fp", F.xxhash64("key", "s", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")))
+    entries = entries.filter(F.col("count") <= chunk).select("fp", "key", "count").union(finer.select("fp", "key", "count"))
+    # one that is still above it is dealt out as pairs (x, y), x <= y, of its chunks
     n = F.ceil(F.col("count") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), n).cast("int")
     cells = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.least(o, own) * n + F.greatest(o, own))
@@ -248,7 +268,7 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk:
 def groups(prints: DataFrame, scope: str = "session") -> DataFrame:
     """The rows of prints (doc_id, fp, ...) with root, the least fingerprint of their component, and component_id, its least doc_id."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(links(first.select("fp")), scope)
+    roots = components(links(first.select("fp"), scope=scope), scope)
     linked = saved(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), scope)
     least = saved(linked.groupBy("root").agg(F.min("first_doc").alias("component_id")), scope)
     named = linked.join(least, "root").select("fp", "root", "component_id")

@@ -3,11 +3,12 @@
 A rule is (host, path, verdict). It fits a URL when the URL's host is the
 rule's host or a subdomain of it and the URL's path starts with the rule's
 path. Among the rules that fit, more host labels win, then the longer path,
-then block over allow. The rules are a parameter of the job, not data: they
-travel to the executors inside the function and their number is checked.
+then block over allow. The rules are a parameter of the job, not data: their
+number is checked, and the trie is broadcast, so an executor gets it once.
 
 Defined results: a null URL, or one without "://", has an empty host and path,
-fits no rule and gets the default verdict. Repeated rows keep a result each.
+fits no rule and gets the default verdict. Repeated rows keep a result each; an
+empty table gives an empty table; very long URLs are judged whole.
 Other columns of the input are ignored.
 """
 
@@ -39,7 +40,8 @@ class UrlTrie:
             *segments, rest = path.split("/")
             for segment in segments:
                 node = node.setdefault(segment, {})
-            ends = node.setdefault(None, {})  # what may follow the last slash, down to the empty string
+            ends = node.setdefault(None, {})  # by length, what may follow the last slash, down to the empty string
+            ends = ends.setdefault(len(rest), {})
             if ends.get(rest, ("", "allow"))[1] != "block":
                 ends[rest] = (host + path, verdict)
 
@@ -48,11 +50,10 @@ class UrlTrie:
         """The rule with the longest path that the path starts with."""
         best, at = None, 0
         while True:
-            if ends := node.get(None):
-                tail = path[at:]
-                fits = [r for r in ends if tail.startswith(r)]
-                if fits:
-                    best = ends[max(fits, key=len)]
+            for size, ends in sorted(node.get(None, {}).items(), reverse=True):
+                if (found := ends.get(path[at : at + size])) is not None:
+                    best = found
+                    break
             cut = path.find("/", at)
             if cut < 0 or (child := node.get(path[at:cut])) is None:
                 return best
@@ -86,13 +87,13 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: its host, its path, the rule that decides and the verdict. Reads two columns, shuffles nothing."""
-    trie = UrlTrie(rules)
+    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, paths, found, verdicts = [], [], [], []
         for url in batch.column(1).to_pylist():
             host, path = host_and_path(url)
-            rule, verdict = trie.lookup(host, path) or (None, default)
+            rule, verdict = trie.value.lookup(host, path) or (None, default)
             hosts.append(host)
             paths.append(path)
             found.append(rule)

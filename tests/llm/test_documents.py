@@ -163,6 +163,10 @@ def test_split_buckets_join_again(spark):
     df = spark.createDataFrame([(p - (1 << 64) if p >= 1 << 63 else p,) for p in prints], "fp long")
     from quarrywork.llm.components import components
 
+    for mask in simhash.tables():
+        assert sum(simhash.further(mask)) == (1 << 64) - 1 - mask and len(simhash.further(mask)) == 5
+    roots = components(simhash.links(df, chunk=3))
+    assert roots.select("root").distinct().count() == 1 and roots.count() == len(prints)
     roots = components(simhash.links(df, chunk=7))
     assert roots.select("root").distinct().count() == 1 and roots.count() == len(prints)
 
