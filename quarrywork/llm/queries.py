@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, imi, mixing, packing, ppm, simhash, toxicity, url_trie, weak, wrappers
+from . import common, debruijn, imi, mixing, packing, ppm, simhash, toxicity, url_trie, weak, wrappers
+
+
+#: Runs of a query whose written tables stay; the tables of older ones go when it runs again, and all when the process ends.
+RUNS = 3
+_RUNS: dict[str, list[str]] = {}
+
+
+def _scope(spark: SparkSession, name: str) -> str:
+    """A name for what this run of a query writes to the shared folder."""
+    runs = _RUNS.setdefault(name, [])
+    runs.append(f"{name}-{uuid.uuid4().hex}")
+    if len(runs) > RUNS:
+        common.release(spark, runs.pop(0))
+    return runs[-1]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +30,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imi.search(_read(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(20)) == 0)
+    return imi.search(_read(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(20)) == 0, scope=_scope(spark, "op1"))
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), scope=_scope(spark, "op2"))
 
 
 def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(_read(spark, sf_dir, "documents"))
+    return ppm.score(_read(spark, sf_dir, "documents"), scope=_scope(spark, "op3"))
 
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -34,19 +49,19 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), scope=_scope(spark, "op5"))
 
 
 def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debruijn.deduplicate(_read(spark, sf_dir, "documents"), with_text=False)
+    return debruijn.deduplicate(_read(spark, sf_dir, "documents"), with_text=False, scope=_scope(spark, "op6"))
 
 
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak.judge(_read(spark, sf_dir, "documents"))
+    return weak.judge(_read(spark, sf_dir, "documents"), scope=_scope(spark, "op7"))
 
 
 def op8_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixing.mix(_read(spark, sf_dir, "documents"), scope=_scope(spark, "op8"))
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,11 +74,11 @@ def tokenizer_path() -> str:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), scope=_scope(spark, "op9"))
 
 
 def op10_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wrappers.extract(_read(spark, sf_dir, "pages"))
+    return wrappers.extract(_read(spark, sf_dir, "pages"), scope=_scope(spark, "op10"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
