@@ -90,6 +90,12 @@ def topic_evidence(evidence: DataFrame, topic: str) -> DataFrame:
     return evidence.filter(F.col("topic") == topic).orderBy("request_id", "pos", "rank")
 
 
+def traced(evidence: DataFrame, k: int = 3) -> DataFrame:
+    """The first k pieces of evidence of each question, for showing how an answer came about."""
+    n = F.row_number().over(Window.partitionBy("request_id", "topic", "pos").orderBy("rank"))
+    return evidence.withColumn("_n", n).filter(F.col("_n") <= k).drop("_n")
+
+
 def prepare(asked: DataFrame, flights: DataFrame, session_table: DataFrame, knowledge: DataFrame, retrieve: Callable[[DataFrame], DataFrame], plan: Callable[[DataFrame], DataFrame] = requests.plan_by_rules) -> DataFrame:
     """(request_id, text, missing_fields, direct_answer, operations, digest, knowledge) of requests (request_id, text).
 

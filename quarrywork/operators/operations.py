@@ -72,3 +72,13 @@ def session_count(sessions: DataFrame, date: Column) -> DataFrame:
 
 def transit_allowed(hours: Column, least: float = 5.5, most: float = 24.0) -> Column:
     return hours.between(least, most)
+
+
+#: Fixed value: from so few places on, the number is shown with emphasis.
+FEW_SLOTS = 3
+
+
+def offers(sessions: DataFrame) -> DataFrame:
+    """sessions with few_slots (to be emphasised) and bookable, for showing them."""
+    left = F.coalesce("remaining_slots", F.lit(0))
+    return sessions.withColumns({"few_slots": left <= FEW_SLOTS, "bookable": left > 0})

@@ -298,6 +298,22 @@ def chunk_parents(spark, d):
     return chunking.children(_canonical(spark, d)).select("chunk_id", "parent_doc_id", "chunk_index", "chunk_count", F.char_length("content").alias("n_chars"))
 
 
+@query("""WITH w AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents)
+SELECT 'd' || doc_id AS parent_doc_id, true AS inside, true AS from_the_start, true AS to_the_end, (length(body) > 1200) AS is_split, length(body) <= 1200 AS one_chunk, len(list_distinct(regexp_extract_all(body, '[^\\s.]+')))::BIGINT AS words FROM w""")
+def chunk_integrity(spark, d):
+    """Of each parent: whether all chunks stand in its text and keep to the limit, whether they reach from its start to its end, and how many distinct words they hold together."""
+    docs = _canonical(spark, d)
+    body = T.strip(T.before(F.col("whole"), "\n\nReferences:"))
+    rows = chunking.children(docs).join(docs.select(F.col("doc_id").alias("parent_doc_id"), F.col("content").alias("whole")), "parent_doc_id")
+    first, last, piece = F.col("chunk_index") == 0, F.col("chunk_index") == F.col("chunk_count") - 1, F.col("content")
+    sound = F.contains(body, piece) & ((F.char_length(piece) <= 700) | (F.col("chunk_count") == 1))
+    words = F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(piece, F.lit(r"([^\s.]+)"), 1))))
+    return rows.groupBy("parent_doc_id").agg(
+        F.bool_and(sound).alias("inside"), F.bool_or(first & F.startswith(body, piece)).alias("from_the_start"), F.bool_or(last & F.endswith(body, piece)).alias("to_the_end"),
+        F.bool_or("is_split").alias("is_split"), (F.count("*") == 1).alias("one_chunk"), F.size(words).cast("bigint").alias("words"),
+    )
+
+
 _STRIP = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 

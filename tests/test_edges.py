@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrywork.functions import dom, walk
-from quarrywork.operators import chunking, copilot, dedup, extract, joins, retrieval
+from quarrywork.operators import chunking, copilot, dedup, extract, joins, operations, retrieval
 from quarrywork.plans import jobs
 from quarrywork.sources import fetch, files
 
@@ -148,3 +148,30 @@ def test_words_without_an_index(spark):
     index = retrieval.postings(docs, "doc_id", "text")
     value = lambda df: sorted((r.query_id, r.doc, round(r.score, 9), r.rank) for r in df.collect())
     assert value(retrieval.search_words(docs, "doc_id", "text", asked)) == value(retrieval.bm25(index, *retrieval.statistics(docs, "doc_id", index), asked))
+
+
+def test_questions_find_their_documents(spark, tmp_path):
+    texts = {
+        "customs": ("Penalties", "The composition amount for undeclared cigarettes is $200 a packet. Other goods are taxed."),
+        "visa": ("Visa requirements India", "Indian passport holders need a visa to enter Singapore. Apply online."),
+        "vftf": ("Visa Free Transit Facility", "An Indian national may use the Visa Free Transit Facility for 96 hours in transit."),
+        "fst": ("Free Singapore Tour", "Requirements for joining the Free Singapore Tour: a layover of 5.5 hours, and no luggage."),
+        "drone": ("Controlled items", "You may bring a drone into Singapore with a permit."),
+        "other": ("Opening hours", "The library opens at nine."),
+    }
+    docs = spark.createDataFrame([(k, "s", "web", title, None, body, None, None) for k, (title, body) in texts.items()], "doc_id string, source string, source_type string, title string, heading_path string, content string, url string, page int")
+    asked = [
+        ("customs", "How much is the composition amount for undeclared cigarettes?"), ("visa", "Do Indian passport holders need a visa to enter Singapore?"), ("vftf", "Can an Indian national use the Visa Free Transit Facility?"),
+        ("fst", "What are the requirements for joining the Free Singapore Tour?"), ("drone", "Can I bring a drone into Singapore?"),
+    ]
+    jobs.build_index(docs, f"{tmp_path}/index")
+    questions = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(asked)], "query_id bigint, text string")
+    found = {(r.query_id, r.citation): r.parent for r in jobs.evidence(files.read_index(spark, f"{tmp_path}/index"), docs, questions).collect()}
+    assert [found[i, "S1"] for i in range(5)] == [k for k, _ in asked] and "other" not in found.values()
+
+
+def test_what_is_shown(spark):
+    sessions = spark.createDataFrame([("a", 0), ("b", 3), ("c", 4), ("d", None)], "code string, remaining_slots int")
+    assert [(r.few_slots, r.bookable) for r in operations.offers(sessions).orderBy("code").collect()] == [(True, False), (True, True), (False, True), (True, False)]
+    rows = spark.createDataFrame([(1, t, 0, n) for t in ("visa", "fst") for n in (5, 2, 4, 1, 3)], "request_id int, topic string, pos int, rank int")
+    assert sorted((r.topic, r["rank"]) for r in copilot.traced(rows).collect()) == [(t, n) for t in ("fst", "visa") for n in (1, 2, 3)]
