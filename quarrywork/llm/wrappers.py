@@ -37,8 +37,8 @@ choice of the article, no text is cut off. Trees are walked without recursion,
 so depth has no limit.
 
 Pages with one and the same folded tree count once, with sums, before anything
-is shuffled. Wrappers of a host merge in three levels, by a hash and then all,
-so that a host that has a third of all pages is spread. The wrappers, one
+is shuffled. Wrappers of a host merge in rounds of FAN, as many as the host with
+most of them needs, so that a host that has a third of all pages is spread. The wrappers, one
 for a host, are sent to all where they are SENT bytes together at the most, and
 else join the pages by host.
 
@@ -66,8 +66,10 @@ from pyspark.sql import functions as F
 
 from .common import partitions_for, saved, slices, small_batches
 
-CONSTANT, TOGETHER, KEPT, ITEMS, CELLS = 0.9, 5, 256, 5000, 1_000_000
+CONSTANT, TOGETHER, KEPT, ITEMS, CELLS = 0.9, 10, 256, 5000, 1_000_000
 SENT = 32 << 20
+#: Wrappers of a host that one task merges, about.
+FAN = 64
 
 #: Fixed lists. Elements without content; whose content is no markup; that end an open paragraph and separate blocks;
 #: that end an open element of their own kind; whose text is not looked into further.
@@ -633,13 +635,12 @@ def host_of(url):
 _WRAPPERS = "host string, wrapper binary"
 
 
-def wrappers(pages: DataFrame, parts: int = 16, most: int = 2000, held_items: int = 100_000) -> DataFrame:
+def wrappers(pages: DataFrame, fan: int = FAN, most: int = 2000, held_items: int = 100_000, scope: str = "session") -> DataFrame:
     """(host, wrapper): the wrapper of each host, as bytes for load().
 
     A task unites pages of one shape as it reads them, and lets go of what it
-    has at most shapes or held_items items. Its rows then unite in parts * parts
-    groups of a host, in parts groups, and in one, so a group never holds more
-    than a few thousand rows.
+    has at most shapes or held_items items. A host's rows then unite in lots of
+    about fan, and what comes of these again, until no host has more.
     """
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -676,12 +677,12 @@ def wrappers(pages: DataFrame, parts: int = 16, most: int = 2000, held_items: in
             whole = load(data) if whole is None else pruned(unite(whole, load(data)), 4 * ITEMS)
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [dump(pruned(whole))]})
 
-    found = pages.select("host", "html").mapInArrow(shapes, _WRAPPERS)
+    found = saved(pages.select("host", "html").mapInArrow(shapes, _WRAPPERS), scope)
     # dealt out explicitly: few bytes may be much work, and would be put into one task
     tasks = partitions_for(pages.sparkSession)
-    for groups in (parts * parts, parts):
-        found = found.withColumn("lot", F.pmod(F.xxhash64("wrapper"), F.lit(groups)))
-        found = found.repartition(tasks, "host", "lot").groupBy("host", "lot").applyInPandas(merged, _WRAPPERS)
+    while (rows := found.groupBy("host").count().agg(F.max("count")).head()[0] or 0) > fan:
+        lot = F.pmod(F.xxhash64("wrapper", F.monotonically_increasing_id()), F.lit(-(-rows // fan)))
+        found = saved(found.withColumn("lot", lot).repartition(tasks, "host", "lot").groupBy("host", "lot").applyInPandas(merged, _WRAPPERS), scope)
     return found.repartition(tasks, "host").groupBy("host").applyInPandas(merged, _WRAPPERS)
 
 
@@ -689,7 +690,7 @@ def extract(pages: DataFrame, scope: str = "session", most_sent: int = SENT) ->
     """One row per page: page_id, url, text and n_chars."""
     small_batches(pages.sparkSession)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    known = saved(wrappers(keyed), scope)
+    known = saved(wrappers(keyed, scope=scope), scope)
     size = known.agg(F.sum(F.length("wrapper") + F.length("host"))).head()[0] or 0
     sent = None
     if size <= most_sent:

@@ -259,6 +259,14 @@ def test_pages_of_the_tables(spark):
         assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_merging_in_rounds_gives_the_same_texts(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").repartition(6).withColumn("host", F.lit("one"))
+    whole = {r.host: wrappers.load(r.wrapper) for r in wrappers.wrappers(pages).collect()}
+    rounds = {r.host: wrappers.load(r.wrapper) for r in wrappers.wrappers(pages, fan=3, most=4).collect()}
+    assert whole.keys() == rounds.keys() and whole["one"].n == rounds["one"].n == pages.count()
+    assert all(sum(i.c for _, i in wrappers.preorder(w)) == sum(i.c for _, i in wrappers.preorder(whole["one"])) for w in rounds.values())
+
+
 def test_pages_without_names(spark):
     """The articles are found where neither an article element nor a class names them."""
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
