@@ -172,9 +172,14 @@ def repeats(documents: DataFrame, scope: str = "session", bloom_bits: int = BLOO
     and digest is the SHA-256 of what stands there.
     """
     sketch = saved(_paths(documents), scope)
-    owners = sketch.groupBy("owner").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("body") < F.max("body")).alias("branches")).filter("lo < hi")
-    owned = saved(sketch.join(saved(owners.select("owner", "branches"), scope), "owner"), scope)
-    paths = saved(owned.groupBy("owner", "body", "branches").agg(F.min(F.struct("doc_id", "start", "row")).alias("source")), scope)
+    owners = sketch.groupBy("owner").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    owners = saved(owners.select("owner"), scope)
+    # most owners are of one document: a filter keeps their rows from being shuffled once more
+    some = Bloom(owners, "owner", bloom_bits).rows(sketch, F.col("owner"), True)
+    owned = saved(some.join(owners, "owner"), scope)
+    branches = saved(owned.groupBy("owner").agg((F.min("body") < F.max("body")).alias("branches")), scope)
+    paths = saved(owned.groupBy("owner", "body").agg(F.min(F.struct("doc_id", "start", "row")).alias("source")), scope)
+    paths = saved(paths.join(branches, "owner"), scope)
 
     branching = paths.filter("branches").groupBy("source.doc_id", "source.row").agg(F.collect_set("source.start").alias("asked"))
     read = _read_at(documents, branching, _windows, "owner long, body long, doc_id long, row long, start int, windows array<long>", scope, bloom_bits)
