@@ -80,3 +80,28 @@ def test_levels_of_headings(spark):
 def test_stemmed_postings_add_up(spark):
     docs = spark.createDataFrame([(1, "Cats and cat"), (2, None)], "id int, t string")
     assert [(r.term, r.tf) for r in retrieval.postings(docs, "id", "t", stem=True).collect()] == [("cat", 2)]
+
+
+def test_nearest_in_blocks_against_every_pair(spark, monkeypatch):
+    import numpy as np
+
+    from quarrywork.functions.vectors import Nearest
+
+    monkeypatch.setattr(retrieval, "SENT", 7)
+    rng = np.random.default_rng(1)
+    points = [[float(x) for x in rng.normal(size=4).round(1)] for _ in range(40)] + [[0.5, 0.5, 0.5, 0.5]] * 90 + [[1e-11, 1e200, 0.0, 1.0], [0.1, None, 0.2, 0.3], [1.0], [], None, [None] * 4]
+    rows = list(enumerate(points))
+    v = spark.createDataFrame(rows, "id bigint, e array<double>")
+    asked = v.filter("id % 9 = 0 OR id >= 130").select(F.col("id").alias("query_id"), F.col("e").alias("query_vector"))
+    got = {(r.query_id, r["rank"]): (r.doc, r.distance) for r in retrieval.nearest(v, "id", "e", asked, k=20, digits=9).collect()}
+
+    def apart(a, b):
+        both = [(x - y) ** 2 if abs(x - y) < 1e150 else float("inf") for x, y in zip(a or [], b or []) if x is not None and y is not None]
+        return sum(both) if both else None
+
+    for i, a in rows:
+        if i % 9 == 0 or i >= 130:
+            all_ = sorted((d is None, round(d, 9) if d is not None else 0, j) for j, b in rows for d in [apart(a, b)])[:20]
+            assert [got[i, n + 1][0] for n in range(20)] == [j for *_, j in all_]
+            assert [got[i, n + 1][1] is None for n in range(20)] == [none for none, *_ in all_]
+    assert Nearest.QUESTIONS < Nearest.VECTORS  # products stay small
