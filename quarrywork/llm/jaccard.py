@@ -1,6 +1,10 @@
-"""Near-dedup by the Jaccard similarity of word shingles: 0.8 or more of sets of five words.
+"""SimHash near-dedup, checked by the Jaccard similarity of word shingles: 0.8 or more of sets of five words.
 
-1. Candidates. A text's set of shingle hashes gets BANDS MinHash keys of ROWS
+1. Candidates by SimHash. A text's fingerprint sums up its set of shingle
+   hashes, bit by bit; fingerprints within simhash.RADIUS bits are found by
+   simhash.links(), block tables compared bit-sliced, and are candidates.
+   Near 0.8 most pairs lie further apart than any radius that can be searched.
+   For these, a text's set of shingle hashes gets BANDS MinHash keys of ROWS
    values each; texts that share a key are candidates. A pair at similarity 0.8
    shares none with a chance of (1 - 0.8^5)^25, 5 in 100,000; closer pairs less.
    Equal sets collapse first.
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Bloom, Words, mix, rolling, saved, slices, small_batches
 from .components import components
 from .simhash import first_of_groups
@@ -62,6 +67,25 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
+def fingerprint(shingles: np.ndarray) -> np.uint64:
+    """The SimHash of a set: a bit is 1 if it's set in over half of the hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 16):
+        total += np.unpackbits(shingles[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(shingles)).view(">u8").astype(np.uint64)[0]
+
+
+def fingerprint_links(distinct: DataFrame, scope: str = "session") -> DataFrame:
+    """(a, b): links between sets (set_id, fp) that connect what fingerprints within the radius connect."""
+    first = saved(distinct.groupBy("fp").agg(F.min("set_id").alias("first"), F.count("*").alias("n")), scope)
+    # written above, so that the join shuffles both sides and a crowded fingerprint can be split
+    equal = distinct.join(first.filter("n > 1"), "fp").filter("set_id <> first").select(F.col("set_id").alias("a"), F.col("first").alias("b"))
+    found = simhash.links(first.select("fp"), scope=scope)
+    named = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"set_{end}"))
+    near = found.join(named("a"), "a").join(named("b"), "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    return equal.union(near)
+
+
 def spanning_links(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links (indices) that connect what all pairs of at least this similarity connect."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -125,7 +149,8 @@ def groups(documents: DataFrame, scope: str = "session", chunk: int = CHUNK, blo
                 sets = shingle_sets(part.column(2))
                 ids = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
                 keys = [band_keys(s).view(np.int64) if len(s) else [] for s in sets]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_hash", "set_id", "keys"])
+                prints = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_hash", "set_id", "fp", "keys"])
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,14 +160,15 @@ def groups(documents: DataFrame, scope: str = "session", chunk: int = CHUNK, blo
                 yield pa.record_batch([pa.array(ids), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    rows = saved(source.mapInArrow(keyed, f"doc_id {id_type}, row_hash long, set_id long, keys array<long>"), scope)
+    rows = saved(source.mapInArrow(keyed, f"doc_id {id_type}, row_hash long, set_id long, fp long, keys array<long>"), scope)
     place = F.xxhash64("doc_id", "row_hash")
-    distinct = rows.groupBy("set_id").agg(F.min_by("keys", place).alias("keys"), F.min(place).alias("place"))
+    distinct = rows.groupBy("set_id").agg(F.min_by("keys", place).alias("keys"), F.min("fp").alias("fp"), F.min(place).alias("place"))
     distinct = saved(distinct, scope)
     entries = distinct.select("set_id", F.explode("keys").alias("key"))
     # tables that a crowded key joins are written, so that both sides are shuffled and it can be split
     crowded = saved(entries.groupBy("key").agg(F.min("set_id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b"), scope)
-    candidates = saved(components(entries.join(crowded, "key").select(F.col("set_id").alias("a"), "b"), scope), scope)
+    close = fingerprint_links(distinct.select("set_id", "fp"), scope)
+    candidates = saved(components(close.union(entries.join(crowded, "key").select(F.col("set_id").alias("a"), "b")), scope), scope)
     sizes = saved(candidates.groupBy("root").agg(F.count("*").alias("n")), scope)
     members = candidates.join(sizes, "root").join(distinct.select(F.col("set_id").alias("node"), "place"), "node")
     members = saved(members.select(F.col("node").alias("set_id"), "root", "n", "place"), scope)

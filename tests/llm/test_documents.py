@@ -733,3 +733,16 @@ def test_near_dedup_stage_is_exact_jaccard(spark, odd):
 def test_one_of_each_family_leads():
     prints = np.array([0, 1, 0xFFF, 0xFFFFFFFF, 0xFFFFFFFE, 0], np.uint64)
     assert toxicity.leaders(prints, np.array([0, 0, 0, 0, 0, 1])).tolist() == [0, 3, 5]
+
+
+def test_near_dedup_stage_finds_candidates_by_simhash(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(30)]
+    texts += [t.replace(t.split()[200], "other", 1) for t in texts[:20]]
+    sets = jaccard.shingle_sets(pa.array(texts))
+    prints = [int(jaccard.fingerprint(s)) for s in sets]
+    assert prints == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)] + [(90, 5), (91, 5)]
+    found = {frozenset((r.a, r.b)) for r in jaccard.fingerprint_links(spark.createDataFrame(rows, "set_id long, fp long")).collect()}
+    near = {frozenset((i, j)) for i in range(50) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= simhash.RADIUS}
+    assert found == near | {frozenset((90, 91))} and len(near) > 10
