@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, PrefixHash, Words, mix, plain_names, saved, slices, small_batches
+from .common import Bloom, PrefixHash, Words, mix, plain_names, release, saved, slices, small_batches
 
 WINDOW, ANCHOR = 50, 16
 #: Bits of a filter at the most, as a power of two.
@@ -169,32 +169,40 @@ def repeats(documents: DataFrame, scope: str = "session", bloom_bits: int = BLOO
     """(doc_id, row, start, n, from_doc, from_row, from_start, digest): n consecutive windows from word start on are repeats.
 
     Their words are those at the source coordinates from_doc, from_row and from_start,
-    and digest is the SHA-256 of what stands there.
+    and digest is the SHA-256 of what stands there. Tables that only a step reads are deleted after it.
     """
-    sketch = saved(_paths(documents), scope)
+    step = {name: f"{scope}-substrings-{name}" for name in ("sketch", "owned", "merged", "branches", "edges", "lows", "digests")}
+    done = lambda name: release(documents.sparkSession, step[name])
+    sketch = saved(_paths(documents), step["sketch"])
     owners = sketch.groupBy("owner").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    owners = saved(owners.select("owner"), scope)
+    owners = saved(owners.select("owner"), step["sketch"])
     # most owners are of one document: a filter keeps their rows from being shuffled once more
     some = Bloom(owners, "owner", bloom_bits).rows(sketch, F.col("owner"), True)
-    owned = saved(some.join(owners, "owner"), scope)
-    branches = saved(owned.groupBy("owner").agg((F.min("body") < F.max("body")).alias("branches")), scope)
-    paths = saved(owned.groupBy("owner", "body").agg(F.min(F.struct("doc_id", "start", "row")).alias("source")), scope)
-    paths = saved(paths.join(branches, "owner"), scope)
+    owned = saved(some.join(owners, "owner"), step["owned"])
+    done("sketch")
+    branches = saved(owned.groupBy("owner").agg((F.min("body") < F.max("body")).alias("branches")), step["merged"])
+    paths = saved(owned.groupBy("owner", "body").agg(F.min(F.struct("doc_id", "start", "row")).alias("source")), step["merged"])
+    paths = saved(paths.join(branches, "owner"), step["branches"])
+    done("merged")
 
     branching = paths.filter("branches").groupBy("source.doc_id", "source.row").agg(F.collect_set("source.start").alias("asked"))
-    read = _read_at(documents, branching, _windows, "owner long, body long, doc_id long, row long, start int, windows array<long>", scope, bloom_bits)
-    edges = saved(read.dropDuplicates(["owner", "body"]).select("owner", "body", "doc_id", "row", "start", F.posexplode("windows").alias("i", "edge")), scope)
+    read = _read_at(documents, branching, _windows, "owner long, body long, doc_id long, row long, start int, windows array<long>", step["edges"], bloom_bits)
+    edges = saved(read.dropDuplicates(["owner", "body"]).select("owner", "body", "doc_id", "row", "start", F.posexplode("windows").alias("i", "edge")), step["edges"])
     place = F.struct("doc_id", (F.col("start") + F.col("i")).alias("start"), "row")
-    least = saved(edges.groupBy("owner", "edge").agg(F.min(place).alias("lo"), F.count("*").alias("n")).filter("n > 1").select("owner", "edge", "lo"), scope)
+    least = saved(edges.groupBy("owner", "edge").agg(F.min(place).alias("lo"), F.count("*").alias("n")).filter("n > 1").select("owner", "edge", "lo"), step["edges"])
     # a window found on one path only has that path's own source
-    lows = edges.join(least, ["owner", "edge"], "left").groupBy("owner", "body").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("lo", place).alias("lo")))).alias("lows"))
+    lows = saved(edges.join(least, ["owner", "edge"], "left").select("owner", "body", "i", F.coalesce("lo", place).alias("lo")), step["lows"])
+    done("edges")
+    lows = lows.groupBy("owner", "body").agg(F.sort_array(F.collect_list(F.struct("i", "lo"))).alias("lows"))
     low = lambda i: F.get("lows", i)["lo"]
     breaks = lambda i: (i == 0) | (low(i)["doc_id"] != low(i - 1)["doc_id"]) | (low(i)["row"] != low(i - 1)["row"]) | (low(i)["start"] != low(i - 1)["start"] + 1)
     heads = lows.withColumn("heads", F.filter(F.sequence(F.lit(0), F.size("lows") - 1), breaks))
     upto = lambda k: F.coalesce(F.get("heads", k + 1), F.size("lows"))
     runs = F.transform("heads", lambda i, k: F.struct(i.alias("i"), (upto(k) - i).alias("n"), low(i).alias("lo")))
     straight = paths.filter("NOT branches").select("owner", "body", F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("int").alias("n"), "source")).cast("array<struct<i: int, n: int, lo: struct<doc_id: bigint, start: int, row: bigint>>>").alias("runs"))
-    sources = saved(straight.union(heads.select("owner", "body", runs.alias("runs"))), scope)
+    sources = saved(straight.union(heads.select("owner", "body", runs.alias("runs"))), step["owned"])
+    done("branches")
+    done("lows")
 
     found = owned.join(sources, ["owner", "body"]).select("doc_id", "row", "start", "count", F.explode("runs").alias("run")).filter("run.lo.doc_id < doc_id")
     found = found.select("doc_id", "row", (F.col("start") + F.col("run.i")).alias("start"), F.coalesce("run.n", "count").alias("n"), F.col("run.lo.doc_id").alias("from_doc"), F.col("run.lo.row").alias("from_row"), F.col("run.lo.start").alias("from_start")).distinct()
@@ -205,9 +213,11 @@ def repeats(documents: DataFrame, scope: str = "session", bloom_bits: int = BLOO
     numbered = marked.withColumn("span", F.sum("opens").over(diagonal))
     spans = numbered.groupBy("doc_id", "row", "from_doc", "from_row", "diagonal", "span").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("from_start").alias("from_start"))
     spans = saved(spans.select("doc_id", "row", "start", (F.col("end") - F.col("start")).alias("n"), "from_doc", "from_row", "from_start"), scope)
+    done("owned")
 
     asked = spans.groupBy(F.col("from_doc").alias("doc_id"), F.col("from_row").alias("row")).agg(F.collect_set(F.struct(F.col("from_start").alias("start"), "n")).alias("asked"))
-    digests = saved(_read_at(documents, asked, _digests, "from_doc long, from_row long, from_start int, n int, digest binary", scope, bloom_bits).distinct(), scope)
+    digests = saved(_read_at(documents, asked, _digests, "from_doc long, from_row long, from_start int, n int, digest binary", step["digests"], bloom_bits).distinct(), scope)
+    done("digests")
     return spans.join(digests, ["from_doc", "from_row", "from_start", "n"])
 
 
@@ -233,8 +243,9 @@ def _each_cut(documents: DataFrame, made, schema, scope: str, bloom_bits: int) -
     """made(batch, cuts) of all rows: cuts holds _cut() of each text. documents keeps its rows, in columns c0, c1, ... of the batch."""
     columns = documents.columns
     text_at, n = columns.index("text"), len(columns)
-    spans = repeats(documents, scope, bloom_bits)
-    spans = saved(spans.groupBy(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row")).agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")), scope)
+    found = repeats(documents, f"{scope}-repeats", bloom_bits)
+    spans = saved(found.groupBy(F.col("doc_id").alias("span_doc"), F.col("row").alias("span_row")).agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")), scope)
+    release(documents.sparkSession, f"{scope}-repeats")
     # documents without repeats need no join; the filter finds most of them before their texts are shuffled
     bloom = Bloom(spans.select(F.xxhash64("span_doc", "span_row").alias("place")), "place", bloom_bits)
     plain = plain_names(documents)
