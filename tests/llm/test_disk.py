@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarrywork.llm import common, debruijn
 
 PASSAGE = " ".join(f"w{i}" for i in range(120))
@@ -47,3 +48,14 @@ def test_steps_of_substrings_go(spark, monkeypatch, bits):
     assert not live[0] & live[3] and len(live) > 8 and max(map(len, live)) <= 8
     assert all(not os.path.exists(p.removeprefix("file://")) for p in set.union(*live) - set(common._SAVED["disk"]))
     common.release(spark, "disk")
+
+
+def test_substring_stage_keeps_one_table(spark):
+    """What the pipeline's stage returns reads one table; those of its steps are gone before the result is written."""
+    common.release(spark, corpus_pipeline.SCOPE)
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    others = {p for of in common._SAVED.values() for p in of}
+    stage = corpus_pipeline.substring_dedup(spark, rows, "")
+    assert {p for of in common._SAVED.values() for p in of} - others == set(common._SAVED[corpus_pipeline.SCOPE]) and len(common._SAVED[corpus_pipeline.SCOPE]) == 1
+    assert {r.doc_id: r.text for r in stage.collect()} == {0: TEXTS[0], 1: "c d", 2: TEXTS[2], 3: "x", 4: None}
+    common.release(spark, corpus_pipeline.SCOPE)
