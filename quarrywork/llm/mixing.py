@@ -140,13 +140,17 @@ def sample(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
     plain = plain_names(documents)
     of = lambda name: F.col(plain.columns[columns.index(name)])
     keyed = plain.select(*plain.columns, *_line(of("doc_id"), of("source"), of("text"), seed)).join(plan, "origin")
-    copies = F.col("repeats") + F.when(_part() == F.col("size"), 1).otherwise(0)
-    wholes = keyed.filter((copies > 0) & (F.col("size") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    # copy 0 is the fractional one, 1 and on are whole; all come from one read, in which the words of a text are counted once:
+    # a condition on size alone would be pushed below the join, where it counts them again
+    copies = F.least(F.col("size"), F.lit(1)) * (F.col("repeats") + F.when(_part() == F.col("size"), 1).otherwise(0))
+    first = F.when((_at() == F.col("cut_at")) & (F.col("part") > 0), 0).otherwise(1).cast("long")
+    taken = keyed.withColumn("first", first).withColumn("copies", copies).filter("first <= copies").withColumn("copy", F.explode(F.sequence("first", "copies")))
     head = F.array_join(F.slice(F.regexp_extract_all(of("text"), F.lit(r"([^\x20\x09-\x0D]+)"), 1), 1, F.col("part").cast("int")), " ")
-    parts = keyed.filter((_at() == F.col("cut_at")) & (F.col("part") > 0)).withColumn(plain.columns[columns.index("text")], head)
+    rows = taken.withColumn(plain.columns[columns.index("text")], F.when(F.col("copy") == 0, head).otherwise(of("text")))
     if "n_chars" in columns:
-        parts = parts.withColumn(plain.columns[columns.index("n_chars")], F.char_length(of("text")).cast(documents.schema["n_chars"].dataType))
-    return wholes.select(*plain.columns).union(parts.select(*plain.columns)).toDF(*columns)
+        length = F.char_length(of("text")).cast(documents.schema["n_chars"].dataType)
+        rows = rows.withColumn(plain.columns[columns.index("n_chars")], F.when(F.col("copy") == 0, length).otherwise(of("n_chars")))
+    return rows.select(*plain.columns).toDF(*columns)
 
 
 #: What mix() returns, for DuckDB.
